@@ -5,10 +5,15 @@ from __future__ import annotations
 from tessera.llm.matroska import op1_matroska
 from tessera.llm.mixture import OP4_SQL, op4_mixture
 from tessera.llm.packing import op6_packing
+from tessera.llm.pii import op5_pii
+from tessera.llm.quality import op7_quality
+from tessera.llm.secrets_scan import op9_secrets
+from tessera.llm.simhash import op8_simhash
+from tessera.llm.toxicity import op2_toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_matroska, op4_mixture, op6_packing)}
+    return {f.__name__: f for f in (op1_matroska, op2_toxicity, op4_mixture, op5_pii, op6_packing, op7_quality, op8_simhash, op9_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
