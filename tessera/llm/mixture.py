@@ -8,13 +8,15 @@ row per source and fetches three sums a round.
 lacks is met by documents in a seeded order, whole as long as they fit, and the document at the border is taken in part.
 The border is found by histograms of the seeded order, ten bits at a time, so that no source is ever sorted in one task.
 
-Edge cases: a null text counts 0 words; a null source is a source of its own; a source of size 0 has target 0; documents of
-one id and text share a place in the order and are taken one after another by a running number; an empty table gives an
-empty result; other columns are kept by ``repeat`` and left out by ``mix``.
+Edge cases: a null text counts 0 words; a null source is a source of its own; a source of size 0 has target 0; rows of one
+id share a place in the order and, at the border, are taken together or not at all; an empty table gives an empty result;
+other columns are kept by ``repeat`` and left out by ``mix``. Documents without words are repeated like their source.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,10 +27,11 @@ DIGITS = 10  # bits of the seeded order that one histogram resolves
 
 #: Up to so many sources, their targets are broadcast; beyond, joins shuffle and adaptive execution splits hot sources.
 BROADCAST_SOURCES = 20_000
+PLACES, CELL_ROWS = 52, 1000  # bits of a place; rows a border cell may have
 
 
-def hinted(small: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(small) if rows <= BROADCAST_SOURCES else small
+def hinted(small: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(small) if few else small
 
 
 def word_count(text: Column) -> Column:
@@ -63,49 +66,70 @@ def seeded(seed: int, *keys: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
 
 
-def take(docs: DataFrame, targets: DataFrame, id_col: str, source_col: str, size_col: str, seed: int) -> DataFrame:
-    """docs with source_size, target, whole (repetitions in full) and part (words of one more).
+@dataclass
+class Plan:
+    """How sources are taken. rules: a row a source, with source_size, target, whole, lack and, where its border lies in a
+    cell of the seeded order, that cell's first place (low); top: bits that a cell leaves open; edges: (source, id, part) for
+    documents of border cells, part the words to take of one more repetition."""
 
-    docs: a row a document, with id, source and size; must be cheap to read again. targets: source, source_size, target.
-    """
-    e = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    rules: DataFrame
+    edges: DataFrame
+    top: int
+    few: bool
+    seed: int
+
+
+def plan(docs: DataFrame, targets: DataFrame, seed: int) -> Plan:
+    """docs: doc_id, source and size, a row a document, cheap to read again. targets: source, source_size, target."""
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     lack = (F.round("target") - F.col("whole") * F.col("source_size")).cast("long")
-    goals = cut(targets.withColumn("whole", e).withColumn("lack", lack))
-    n_sources = goals.count()
-    small = hinted(goals.withColumnRenamed(source_col, "_source"), n_sources)
-    keyed = docs.withColumn("place", seeded(seed, F.col(id_col))).join(small, F.col(source_col).eqNullSafe(F.col("_source"))).drop("_source")
-    # Narrow down to the border's cell of the order, source by source.
-    # low: first place of the cell, before: words of all places below it, bits: how many are settled
-    border = goals.select(source_col, "lack", F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("before"), F.lit(True).alias("open"))
-    top = 52
-    while top > 0:
+    goals = cut(targets.withColumn("whole", whole).withColumn("lack", lack))
+    few = goals.count() <= BROADCAST_SOURCES
+    at = docs.select(F.col("source").alias("_s"), "doc_id", F.col("size").alias("_n"), seeded(seed, F.col("doc_id")).alias("place"))
+    # Narrow down to each source's border cell. low: its first place, before: words of all places below it.
+    border = goals.select("source", "lack", F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("before"))
+    top = PLACES
+    while True:
         shift = max(0, top - DIGITS)
-        at = keyed.select(F.col(source_col).alias("_s"), F.col("place"), F.col(size_col).alias("_n"))
-        inside = at.join(hinted(border, n_sources), F.col("_s").eqNullSafe(F.col(source_col))).filter(F.shiftright("place", top) == F.shiftright("low", top))
-        cells = inside.groupBy(source_col, "lack", "low", "before", F.shiftright("place", shift).alias("cell")).agg(F.sum("_n").alias("n"), F.count("*").alias("rows"))
-        w = Window.partitionBy(source_col).orderBy("cell")
+        inside = at.join(hinted(border, few), F.col("_s").eqNullSafe(F.col("source"))).filter(F.shiftright("place", top) == F.shiftright("low", top))
+        cells = inside.groupBy("source", "lack", "before", F.shiftright("place", shift).alias("cell")).agg(F.sum("_n").alias("n"), F.count("*").alias("rows"))
+        w = Window.partitionBy("source").orderBy("cell")
         run = cells.withColumn("to", F.col("before") + F.sum("n").over(w)).withColumn("from", F.col("to") - F.col("n"))
         here = run.filter((F.col("from") <= F.col("lack")) & (F.col("lack") < F.col("to")))
-        border = cut(here.select(source_col, "lack", F.shiftleft("cell", shift).alias("low"), F.col("from").alias("before"), "rows"))
+        border = cut(here.select("source", "lack", F.shiftleft("cell", shift).alias("low"), F.col("from").alias("before"), "rows"))
         top = shift
-        most = border.agg(F.max("rows")).first()[0]
-        if most is None or most <= 1000:
+        if not top or (border.agg(F.max("rows")).first()[0] or 0) <= CELL_ROWS:
             break
-    # Places below the border cell are in, above it out; in the cell itself a running sum decides.
-    cell = hinted(border.select(F.col(source_col).alias("_s"), "low", "before"), n_sources)
-    found = keyed.join(cell, F.col(source_col).eqNullSafe(F.col("_s")), "left").drop("_s")
-    where = F.shiftright("place", top)
-    in_cell = F.col("low").isNotNull() & (where == F.shiftright("low", top))
-    w = Window.partitionBy(source_col).orderBy("place", id_col).rowsBetween(Window.unboundedPreceding, -1)
-    sure = found.filter(~in_cell).withColumn("part", F.when(F.col("low").isNull(), F.when(F.col("lack") > 0, F.col(size_col)).otherwise(0)).when(where < F.shiftright("low", top), F.col(size_col)).otherwise(0).cast("long"))
-    edge = found.filter(in_cell).withColumn("_seen", F.col("before") + F.coalesce(F.sum(size_col).over(w), F.lit(0)))
-    edge = edge.withColumn("part", F.greatest(F.lit(0), F.least(F.col(size_col), F.col("lack") - F.col("_seen"))).cast("long")).drop("_seen")
-    return sure.unionByName(edge).drop("place", "lack", "low", "before")
-
-
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS,
-        share: float = SHARE, max_epochs: float = EPOCHS, seed: int = SEED) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, whole, part.
+    # In the border cell a running sum decides; repeated ids go together, whole or not at all.
+    cell = hinted(border.select("source", "lack", "low", "before"), few)
+    inside = at.join(cell, F.col("_s").eqNullSafe(F.col("source"))).filter(F.shiftright("place", top) == F.shiftright("low", top))
+    units = inside.groupBy("source", "doc_id", "place", "lack", "before").agg(F.sum("_n").alias("n"), F.count("*").alias("rows"))
+    seen = F.col("before") + F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    room = F.greatest(F.lit(0), F.col("lack") - seen)
+    part = F.when(F.col("n") <= room, F.col("n")).when(F.col("rows") == 1, room).otherwise(0)
+    edges = cut(units.withColumn("part", part.cast("long")).select("source", "doc_id", "part"))
+    rules = goals.join(border.select(F.col("source").alias("_s"), "low"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+    return Plan(cut(rules), edges, top, few, seed)
+
+
+def take(docs: DataFrame, how: Plan) -> DataFrame:
+    """docs (with doc_id, source, size) with source_size, target, whole (repetitions in full) and part (words of one more).
+
+    Rows are not shuffled where sources are few: all but those of border cells are decided by their source and place alone.
+    """
+    rules = hinted(how.rules.withColumnRenamed("source", "_s"), how.few)
+    edges = hinted(how.edges.select(F.col("source").alias("_s2"), F.col("doc_id").alias("_id"), F.col("part").alias("_part")), how.few)
+    found = docs.withColumn("_place", seeded(how.seed, F.col("doc_id"))).join(rules, F.col("source").eqNullSafe(F.col("_s")))
+    found = found.join(edges, F.col("source").eqNullSafe(F.col("_s2")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    where, border = F.shiftright("_place", how.top), F.shiftright("low", how.top)
+    below = F.when(F.col("low").isNull(), F.col("lack") > 0).otherwise(where < border)
+    part = F.when(where == border, F.least(F.coalesce(F.col("_part"), F.lit(0)), F.col("size"))).when(below, F.col("size")).otherwise(0)
+    return found.withColumn("part", part.cast("long")).drop("_place", "_s", "_s2", "_id", "_part", "low", "lack")
+
+
+def make_plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS,
+              share: float = SHARE, max_epochs: float = EPOCHS, seed: int = SEED) -> tuple[Plan, DataFrame]:
+    """The plan for df, and doc_id, source and size of its documents.
 
     Sources by code point, null last, have the given weights in turn; together they share ``share`` times all words.
     """
@@ -114,8 +138,27 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
     total = share * (sized.agg(F.sum("size")).first()[0] or 0)
     filled = water_fill(sources.select("source", F.col("source_size").alias("size"), weight.alias("weight")), total, max_epochs)
-    targets = filled.select("source", F.col("size").alias("source_size"), "target")
-    return take(sized, targets, "doc_id", "source", "size", seed)
+    return plan(sized, filled.select("source", F.col("size").alias("source_size"), "target"), seed), sized
+
+
+def mix(df: DataFrame, **options) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, whole, part. Options as in ``make_plan``."""
+    how, sized = make_plan(df, **options)
+    return take(sized, how)
+
+
+def repeat(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """df as mixed: a row for every repetition; one that is taken in part has its first words, joined by blanks."""
+    names = df.columns
+    how, _ = make_plan(df, id_col, text_col, source_col, **options)
+    row = F.struct(*(col(c).alias(f"c{i}") for i, c in enumerate(names))).alias("row")
+    keyed = df.select(row, col(id_col).alias("doc_id"), col(source_col).cast("string").alias("source"), word_count(col(text_col).cast("string")).alias("size"))
+    copies = F.concat(F.array_repeat(F.col("size"), F.col("whole").cast("int")), F.when(F.col("part") > 0, F.array("part")).otherwise(F.array().cast("array<long>")))
+    each = take(keyed, how).select("row", "size", F.explode(copies).alias("words"))
+    text = F.col("row")[f"c{names.index(text_col)}"]
+    words = F.array_remove(F.split(text, SPACES, -1), "")
+    cut_text = F.when(F.col("words") < F.col("size"), F.array_join(F.slice(words, F.lit(1), F.col("words").cast("int")), " ")).otherwise(text)
+    return each.select(*((cut_text if c == text_col else F.col("row")[f"c{i}"]).alias(c) for i, c in enumerate(names)))
 
 
 def op4_mixture(spark, sf_dir: str) -> DataFrame:

@@ -185,7 +185,11 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, {PIECES}")
 
 
+def digest(pieces: DataFrame) -> DataFrame:
+    """Pieces with the CRC-32 of their ids in place of the ids."""
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op6_packing(spark, sf_dir: str) -> DataFrame:
     """All of ``documents`` packed into sequences of at most 2048 tokens; ids as their CRC-32."""
-    pieces = pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return digest(pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")))
