@@ -2,35 +2,36 @@
 
 The text is read as tokens - words with A-Z folded, then one end - and each token as bytes with a closing blank, each byte
 as eight bits. Five predictors see a hash of their context - the last one, two, three, four bytes of the word, or the whole
-word so far - and hold, per hash slot, how often the next bit was 0 and 1. Their log odds are mixed by weights chosen by a
-gate: the number of the bit, and the longest context that was seen before. The weights learn online, bit by bit, from
-predictions that leave out the occurrence at hand. An adaptive table, by bit, last byte and predicted log odds, refines the
+word so far - and, but for the fourth, the text's class, here its language; they hold, per hash slot, how often the next bit
+was 0 and 1. Their log odds are mixed by weights chosen by a gate: the number of the bit, and how often the whole-word
+context was seen. The weights learn online, bit by bit, from predictions that leave out the occurrence at hand. An adaptive table, by bit, last byte and predicted log odds, refines the
 mixture, and the two are averaged. What all bits of a text cost is its score; over its bytes, its bits per byte.
 
-Contexts end at words, so a word costs the same wherever it stands. It is therefore coded once, not once an occurrence:
-1. words are counted over all training texts; 2. predictors are counted over the words, in shards; 3. mixing weights and the
-refining table are learned in each shard and averaged; 4. each word is scored; 5. texts add up the words' scores. Words with
-a count of at least a threshold, chosen so that they are at most ``HEAD``, are broadcast; others are joined by word.
+Contexts end at words, so a word costs the same wherever it stands in texts of a class. It is therefore coded once, not
+once an occurrence: 1. words are counted by class over all training texts; 2. predictors are counted over the words, in
+shards; 3. mixing weights and the refining table are learned in each shard and averaged; 4. each word is scored; 5. texts
+add up the words' scores. Words with a count of at least a threshold, chosen so that they are at most ``HEAD``, are
+broadcast; others are joined by word.
 The model is of a fixed size (``BITS``); counts, shards and joins grow with the corpus.
 
 Edge cases: a null or empty text is one end token; words without training count are scored by their bytes; without any
-training text all bits are even; repeated rows and ids give a row each; a null id counts as the empty text for the split; an
+training text all bits are even; a null class is a class of its own; repeated rows and ids give a row each; a null id counts as the empty text for the split; an
 empty table gives an empty result; other columns are left out.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, id_and_text, lower_ascii, ship
+from tessera.llm.common import col, cut, id_and_text, lower_ascii, ship
 
 HEAD = 1 << 18
 SHARD = 1 << 19  # words a shard
@@ -42,15 +43,20 @@ ORDERS = len(BITS)
 STARTS = tuple(int(x) for x in np.concatenate(([0], np.cumsum([1 << b for b in BITS]))))
 DEEP = 32  # bytes of a word that its whole-word context covers
 PRIOR, RATE, CHUNK = 0.05, 0.02, 1 << 15
-GATES = 8 * (ORDERS + 1)
+GRADES = np.array([0.5, 3, 10, 40, 200], np.float32)
+GATES = 8 * (len(GRADES) + 1)
 LEVELS = np.linspace(-12, 12, 25)  # log odds of the refining table
 END = b"\n"
 
 
 def flat(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All words' bytes, each with its closing blank; hashes of the five contexts of every byte; where words begin."""
-    data = np.frombuffer(b" ".join(words) + b" ", np.uint8)
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    """All words' bytes, each with its closing blank; hashes of the five contexts of every byte; where words begin.
+
+    The first byte of each is its class, no part of the word; it goes into the hash of all contexts but the fourth.
+    """
+    data = np.frombuffer(b" ".join(w[1:] for w in words) + b" ", np.uint8)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    kind = np.repeat(np.frombuffer(b"".join(w[:1] for w in words), np.uint8), lengths).astype(np.uint64)
     starts = np.cumsum(lengths) - lengths
     place = np.arange(len(data)) - np.repeat(starts, lengths)
     ctx = np.zeros((ORDERS, len(data)), np.uint64)
@@ -72,9 +78,17 @@ def flat(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     deep = place >= DEEP
     whole[deep] = ctx[3][deep] * np.uint64(0x9E3779B97F4A7C15)
     ctx[4] = whole
+    ctx[[0, 1, 2, 4]] += kind * np.uint64(0xC2B2AE3D27D4EB4F)
     return data, ctx, starts
 
 
+def before(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The byte before each one, 0 where a word begins."""
+    out = np.concatenate(([0], data[:-1])).astype(np.int64)
+    out[starts] = 0
+    return out
+
+
 def slots(ctx: np.ndarray, node: np.ndarray, order: int) -> np.ndarray:
     """The predictor's slot for its context and the bits of the byte so far."""
     mixed = (ctx + node * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
@@ -101,17 +115,16 @@ def count_contexts(table: np.ndarray, words: list[bytes], counts: np.ndarray, kn
 
 
 def inputs(table: np.ndarray, ctx: np.ndarray, node: np.ndarray, bit: np.ndarray, less: np.ndarray | None, often: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Log odds of the five predictors, and how long the longest context seen is. less: what to leave out of the bit's count."""
+    """Log odds of the five predictors, and how often the whole-word context was seen, by grade. less: what to leave out of the bit's count."""
     n = len(node)
-    odds, seen = np.empty((ORDERS, n), np.float32), np.zeros(n, np.int64)
+    odds = np.empty((ORDERS, n), np.float32)
     for k in range(ORDERS):
         c = table[slots(ctx[k], node, k)]
         if less is not None:
             out = less if k < ORDERS - 1 else less * often
             c[np.arange(n), bit] = np.maximum(c[np.arange(n), bit] - out, 0)
         odds[k] = np.log(c[:, 1] + PRIOR) - np.log(c[:, 0] + PRIOR)
-        seen[c.sum(axis=1) > 0.5] = k + 1
-    return odds, seen
+    return odds, np.searchsorted(GRADES, c.sum(axis=1))
 
 
 def squash(x: np.ndarray) -> np.ndarray:
@@ -140,10 +153,10 @@ def learn(table: np.ndarray, words: list[bytes], counts: np.ndarray, known: int,
     lengths = np.diff(np.concatenate((starts, [len(data)])))
     weight = np.repeat(np.minimum(counts, 1000), lengths).astype(np.float32)
     often = np.repeat(counts >= known, lengths).astype(np.float32)
-    last = (ctx[0] & np.uint64(255)).astype(np.int64)
+    last = before(data, starts)
     for j, node, bit in bits(data):
         odds, seen = inputs(table, ctx, node, bit, np.float32(1), often)
-        gate = j * (ORDERS + 1) + seen
+        gate = j * (len(GRADES) + 1) + seen
         x = (weights[gate].T * odds).sum(axis=0)
         error = (bit - squash(x)) * weight
         total = np.bincount(gate, weight, GATES) + 1e-6
@@ -158,12 +171,12 @@ def learn(table: np.ndarray, words: list[bytes], counts: np.ndarray, known: int,
 def score_words(table: np.ndarray, weights: np.ndarray, refined: np.ndarray, words: list[bytes]) -> np.ndarray:
     """log10 probability of each word."""
     data, ctx, starts = flat(words)
-    last = (ctx[0] & np.uint64(255)).astype(np.int64)
+    last = before(data, starts)
     cost = np.zeros(len(data))
     p_of = (refined[:, :, 1] / refined.sum(axis=2)).reshape(-1)
     for j, node, bit in bits(data):
         odds, seen = inputs(table, ctx, node, bit, None, None)
-        x = (weights[j * (ORDERS + 1) + seen].T * odds).sum(axis=0)
+        x = (weights[j * (len(GRADES) + 1) + seen].T * odds).sum(axis=0)
         low, part = levels(x)
         at = (j * 256 + last) * len(LEVELS) + low
         p = 0.5 * squash(x) + 0.5 * (p_of[at] * (1 - part) + p_of[at + 1] * part)
@@ -221,43 +234,56 @@ def fetch_sums(partial: DataFrame, shapes: dict[str, tuple[int, ...]]) -> dict[s
 
 
 def count_words(rows: DataFrame) -> DataFrame:
-    """word and c, its count in training texts; words of held-out texts alone have c 0."""
+    """word, class, c (count in training texts of the class), c_all (in all), first (one row of each word).
+
+    Words of held-out texts alone have c_all 0. Rows come in the order of a hash of the word within partitions by word.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        train: Counter = Counter()
-        other: set[bytes] = set()
+        train: dict[int, Counter] = defaultdict(Counter)
+        other: dict[int, set[bytes]] = defaultdict(set)
 
         def flush() -> pa.RecordBatch:
-            other.difference_update(train)
-            words = [*train, *other]
-            counts = [*train.values(), *([0] * len(other))]
+            words: list[bytes] = []
+            counts: list[int] = []
+            kinds: list[int] = []
+            for kind in {*train, *other}:
+                found = train[kind]
+                more = other[kind].difference(found)
+                words += [*found, *more]
+                counts += [*found.values(), *([0] * len(more))]
+                kinds += [kind] * (len(found) + len(more))
             train.clear()
             other.clear()
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts, pa.int64())], ["word", "c"])
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(kinds, pa.int32()), pa.array(counts, pa.int64())], ["word", "class", "c"])
 
         for batch in batches:
-            for text, held in zip(batch["text"], batch["held_out"].to_pylist()):
+            for text, held, kind in zip(batch["text"], batch["held_out"].to_pylist(), batch["class"].to_pylist()):
                 words = lower_ascii(text.as_py()).split()
                 if held:
-                    other.update(words)
-                    other.add(END)
+                    other[kind].update(words)
+                    other[kind].add(END)
                 else:
-                    train.update(words)
-                    train[END] += 1
-                if len(train) + len(other) >= FLUSH:
-                    yield flush()
+                    train[kind].update(words)
+                    train[kind][END] += 1
+            if sum(map(len, train.values())) + sum(map(len, other.values())) >= FLUSH:
+                yield flush()
         if train or other:
             yield flush()
 
     ship(rows)
-    return rows.select("text", "held_out").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    counted = rows.select("text", "held_out", "class").mapInArrow(run, "word binary, class int, c long").repartition("word")
+    counted = counted.groupBy("word", "class").agg(F.sum("c").alias("c"))
+    each = Window.partitionBy(F.xxhash64("word"), "word")
+    return counted.withColumn("first", F.row_number().over(each.orderBy("class")) == 1).withColumn("c_all", F.sum("c").over(each))
 
 
-def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray]]:
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray, pa.RecordBatch]]:
+    """Words behind the byte of their class, their counts in it, and the rows."""
     for batch in batches:
         for i in range(0, batch.num_rows, CHUNK):
             part = batch.slice(i, CHUNK)
-            yield part["word"].to_pylist(), part["c"].to_numpy()
+            yield [bytes([k]) + w for k, w in zip(part["class"].to_pylist(), part["word"].to_pylist())], part["c"].to_numpy(), part
 
 
 def train(words: DataFrame, known: int) -> dict[str, np.ndarray]:
@@ -268,7 +294,7 @@ def train(words: DataFrame, known: int) -> dict[str, np.ndarray]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros((n_slots, 2), np.float32)
-        for part, counts in chunks(batches):
+        for part, counts, _ in chunks(batches):
             count_contexts(table, part, counts, known)
         if (out := blobs({"t": table})) is not None:
             yield out
@@ -280,7 +306,7 @@ def train(words: DataFrame, known: int) -> dict[str, np.ndarray]:
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, refined, mass, n = first_weights(), np.zeros((8 * 256, len(LEVELS), 2), np.float32), 0.0, 0
-        for part, counts in chunks(batches):
+        for part, counts, _ in chunks(batches):
             for i in range(0, len(part), 2048):
                 learn(shared.value, part[i : i + 2048], counts[i : i + 2048], known, weights, refined, max(RATE, 1 / (2 + n)))
                 n += 1
@@ -296,14 +322,14 @@ def train(words: DataFrame, known: int) -> dict[str, np.ndarray]:
 
 
 def with_scores(words: DataFrame, model) -> DataFrame:
-    """word, c and lp, its log10 probability. model: a broadcast variable."""
+    """word, class, c, c_all and lp, its log10 probability. model: a broadcast variable."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, counts in chunks(batches):
+        for part, _, rows in chunks(batches):
             lp = score_words(model.value["t"], model.value["w"], model.value["r"], part)
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array(counts), pa.array(lp)], ["word", "c", "lp"])
+            yield pa.RecordBatch.from_arrays([rows["word"], rows["class"], rows["c"], rows["c_all"], pa.array(lp)], ["word", "class", "c", "c_all", "lp"])
 
-    return words.mapInArrow(run, "word binary, c long, lp double")
+    return words.mapInArrow(run, "word binary, class int, c long, c_all long, lp double")
 
 
 def head_count(words: DataFrame, most: int) -> int:
@@ -321,56 +347,62 @@ def head_count(words: DataFrame, most: int) -> int:
 
 def add_up(rows: DataFrame, head: dict, log_total: float) -> DataFrame:
     """A row per text with what its head words sum to, and a row per distinct other word of it, to be joined."""
-    sc = rows.sparkSession.sparkContext
-    shared = sc.broadcast(head)
+    shared = rows.sparkSession.sparkContext.broadcast(head)
     kind = dict(rows.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, c, lp = shared.value["number"], shared.value["c"], shared.value["lp"]
-        get, base = number.get, np.log10(c + 1) - log_total
-        known, serial, task = (c > 0).astype(np.int64), 0, TaskContext.get().partitionId() << 40
+        base, known = np.log10(c + 1) - log_total, (c > 0).astype(np.int64)
+        serial, task = 0, TaskContext.get().partitionId() << 40
         for batch in batches:
-            out: list[list] = [[] for _ in range(10)]
-            for doc_id, text, held in zip(batch["doc_id"].to_pylist(), batch["text"], batch["held_out"].to_pylist()):
+            out: list[list] = [[] for _ in range(11)]
+            for doc_id, text, held, class_ in zip(batch["doc_id"].to_pylist(), batch["text"], batch["held_out"].to_pylist(), batch["class"].to_pylist()):
                 words = lower_ascii(text.as_py()).split()
                 uid, serial = task + serial, serial + 1
                 n_bytes = sum(map(len, words)) + len(words) + 1
                 words.append(END)
+                get = number.get(class_, {}).get
                 at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
                 rest = Counter(words[i] for i in np.flatnonzero(at < 0).tolist())
                 at = at[at >= 0]
                 # The blank keeps this row's key apart from all words.
-                rows_ = [(uid, doc_id, held, len(words), n_bytes, b" %d" % uid, 0, int(known[at].sum()), float(base[at].sum()), float(lp[at].sum()))]
-                rows_ += [(uid, None, None, None, None, w, n, None, None, None) for w, n in rest.items()]
-                for row in rows_:
-                    for o, v in zip(out, row):
-                        o.append(v)
-            types = [pa.int64(), batch["doc_id"].type, pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, types)], ["uid", "doc_id", "held_out", "n_tokens", "n_bytes", "word", "tf", "k", "b", "s"])
+                found = [(uid, doc_id, held, len(words), n_bytes, b" %d" % uid, class_, 0, int(known[at].sum()), float(base[at].sum()), float(lp[at].sum()))]
+                found += [(uid, None, None, None, None, w, class_, n, None, None, None) for w, n in rest.items()]
+                for o, v in zip(out, zip(*found)):
+                    o.extend(v)
+            types = [pa.int64(), batch["doc_id"].type, pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+            names = ["uid", "doc_id", "held_out", "n_tokens", "n_bytes", "word", "class", "tf", "k", "b", "s"]
+            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, types)], names)
 
-    return rows.mapInArrow(run, f"uid long, doc_id {kind}, held_out boolean, n_tokens long, n_bytes long, word binary, tf long, k long, b double, s double")
+    schema = f"uid long, doc_id {kind}, held_out boolean, n_tokens long, n_bytes long, word binary, class int, tf long, k long, b double, s double"
+    return rows.mapInArrow(run, schema)
 
 
-def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, held_out: int = HELD_OUT, head: int = HEAD, shard: int = SHARD) -> DataFrame:
+def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", class_col: str | None = "lang", folds: int = FOLDS, held_out: int = HELD_OUT, head: int = HEAD, shard: int = SHARD) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
-    Documents whose crc32(id as text) modulo folds is held_out are scored but not learned from.
+    Documents whose crc32(id as text) modulo folds is held_out are scored but not learned from. class_col: a column that
+    contexts take in (None: no such column); its values are folded to 251 classes.
     """
-    rows = id_and_text(df, id_col, text_col)
+    kind = F.lit(0) if class_col is None else F.when(col(class_col).isNull(), 251).otherwise(F.crc32(col(class_col).cast("string").cast("binary")) % 251)
+    rows = id_and_text(df.withColumn("_class", kind.cast("int")), id_col, text_col, "_class").withColumnRenamed("_class", "class")
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds
     rows = rows.withColumn("held_out", fold == held_out)
     words = cut(count_words(rows))
-    n_all, n_train, v_train = words.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
+    n_rows, n_train, v_train = words.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("first") & (F.col("c_all") > 0), 1))).first()
     known = head_count(words, head)
-    sharded = cut(words.repartition(max(1, -(-n_all // shard)), "word").sortWithinPartitions("word"))
-    model = df.sparkSession.sparkContext.broadcast(train(sharded, known))
-    scored = cut(with_scores(sharded, model))
-    top = scored.filter(F.col("c") >= known).toPandas()
-    table = {"number": {bytes(w): i for i, w in enumerate(top["word"])}, "c": top["c"].to_numpy(np.float64), "lp": top["lp"].to_numpy(np.float64)}
+    shards = words.coalesce(max(1, -(-n_rows // shard)))
+    model = df.sparkSession.sparkContext.broadcast(train(shards, known))
+    scored = cut(with_scores(words, model))
+    top = scored.filter(F.col("c") >= known).select("word", "class", "c_all", "lp").toArrow()
+    number: dict[int, dict[bytes, int]] = defaultdict(dict)
+    for i, (class_, word) in enumerate(zip(top["class"].to_pylist(), top["word"].to_pylist())):
+        number[class_][word] = i
+    table = {"number": dict(number), "c": top["c_all"].to_numpy().astype(np.float64), "lp": top["lp"].to_numpy()}
     log_total = math.log10(n_train + v_train + 1)
     parts = add_up(rows, table, log_total)
-    tail = scored.filter(F.col("c") < known).withColumnsRenamed({"word": "_word"})
-    joined = parts.join(tail, F.col("word") == F.col("_word"), "left")
+    tail = scored.filter(F.col("c") < known).select(F.col("word").alias("_word"), F.col("class").alias("_class"), F.col("c_all").alias("c"), "lp")
+    joined = parts.join(tail, (F.col("word") == F.col("_word")) & (F.col("class") == F.col("_class")), "left")
     tf = F.col("tf")
     per_text = joined.groupBy("uid").agg(
         F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.max("n_bytes").alias("n_bytes"),
