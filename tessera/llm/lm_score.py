@@ -24,10 +24,13 @@ from __future__ import annotations
 import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -286,8 +289,34 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.
             yield [bytes([k]) + w for k, w in zip(part["class"].to_pylist(), part["word"].to_pylist())], part["c"].to_numpy(), part
 
 
-def train(words: DataFrame, known: int) -> dict[str, np.ndarray]:
-    """The model of a table of words and counts: t (slot counts), w (weights) and r (refining counts)."""
+class Packed:
+    """An array to broadcast, compressed: executors write what they receive to disk, for some tasks anew."""
+
+    def __init__(self, array: np.ndarray):
+        self.shape, self.kind = array.shape, array.dtype.str
+        self.data = zstandard.compress(array.tobytes(), 3)
+        self.array = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"array": None}
+
+    def get(self) -> np.ndarray:
+        """The array, unpacked once a worker."""
+        if self.array is None:
+            self.array = np.frombuffer(zstandard.decompress(self.data), self.kind).reshape(self.shape)
+        return self.array
+
+
+@dataclass
+class Model:
+    """Two broadcasts: the predictors' slot counts, packed; the mixing weights with the refining counts."""
+
+    table: Broadcast
+    mixing: Broadcast
+
+
+def train(words: DataFrame, known: int) -> Model:
+    """The model of a table of words and counts."""
     sc = words.sparkSession.sparkContext
     n_slots = STARTS[-1]
     seen = words.filter("c > 0")
@@ -302,13 +331,13 @@ def train(words: DataFrame, known: int) -> dict[str, np.ndarray]:
     ship(words)
     schema = "block string, at binary, value binary"
     table = fetch_sums(seen.mapInArrow(count, schema), {"t": (n_slots, 2)})["t"]
-    shared = sc.broadcast(table)
+    shared = sc.broadcast(Packed(table))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, refined, mass, n = first_weights(), np.zeros((8 * 256, len(LEVELS), 2), np.float32), 0.0, 0
         for part, counts, _ in chunks(batches):
             for i in range(0, len(part), 2048):
-                learn(shared.value, part[i : i + 2048], counts[i : i + 2048], known, weights, refined, max(RATE, 1 / (2 + n)))
+                learn(shared.value.get(), part[i : i + 2048], counts[i : i + 2048], known, weights, refined, max(RATE, 1 / (2 + n)))
                 n += 1
             mass += float(counts.sum())
         if mass:
@@ -317,16 +346,16 @@ def train(words: DataFrame, known: int) -> dict[str, np.ndarray]:
     found = fetch_sums(seen.mapInArrow(step, schema), {"w": (GATES * ORDERS + 1,), "r": (8 * 256, len(LEVELS), 2)})
     mass = float(found["w"][-1])
     weights = (found["w"][:-1] / mass).reshape(GATES, ORDERS) if mass else first_weights()
-    shared.unpersist()
-    return {"t": table, "w": weights.astype(np.float32), "r": found["r"] + first_refined()}
+    return Model(shared, sc.broadcast((weights.astype(np.float32), found["r"] + first_refined())))
 
 
-def with_scores(words: DataFrame, model) -> DataFrame:
-    """word, class, c, c_all and lp, its log10 probability. model: a broadcast variable."""
+def with_scores(words: DataFrame, model: Model) -> DataFrame:
+    """word, class, c, c_all and lp, its log10 probability."""
+    shared, mixing = model.table, model.mixing
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, _, rows in chunks(batches):
-            lp = score_words(model.value["t"], model.value["w"], model.value["r"], part)
+            lp = score_words(shared.value.get(), *mixing.value, part)
             yield pa.RecordBatch.from_arrays([rows["word"], rows["class"], rows["c"], rows["c_all"], pa.array(lp)], ["word", "class", "c", "c_all", "lp"])
 
     return words.mapInArrow(run, "word binary, class int, c long, c_all long, lp double")
@@ -392,8 +421,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", class_c
     n_rows, n_train, v_train = words.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("first") & (F.col("c_all") > 0), 1))).first()
     known = head_count(words, head)
     shards = words.coalesce(max(1, -(-n_rows // shard)))
-    model = df.sparkSession.sparkContext.broadcast(train(shards, known))
-    scored = cut(with_scores(words, model))
+    scored = cut(with_scores(words, train(shards, known)))
     top = scored.filter(F.col("c") >= known).select("word", "class", "c_all", "lp").toArrow()
     number: dict[int, dict[bytes, int]] = defaultdict(dict)
     for i, (class_, word) in enumerate(zip(top["class"].to_pylist(), top["word"].to_pylist())):
