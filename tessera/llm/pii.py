@@ -51,9 +51,9 @@ KINDS = {
     "ip": (r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", lambda t: t.rlike(r"[0-9]\.[0-9]"), lambda m: F.when(octets(m), F.lit(0.6)), r"\bip\b|host|server|address"),
     "card": (r"[0-9](?:[\x20-]?[0-9])++", lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){15}"), lambda m: F.when(F.call_function("luhn_check", digits(m)), with_length(digits(m), 16, 19, 0.8)), "card|visa|credit|pay"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda t: t.contains("+"), lambda m: with_length(digits(m), 8, 15, 0.6), r"phone|\btel|call|mobile|fax"),
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])", lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{3}"), lambda m: F.when(mod_97(m), F.lit(0.9)), "iban|account|bank"),
-    "short_card": (r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,14}(?![\x20-]?[0-9])", lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){12}"), lambda m: F.when(F.call_function("luhn_check", digits(m)), F.lit(0.3)), "card|visa|credit|amex"),
-    "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda t: t.rlike("[0-9]{3}-[0-9]{2}-[0-9]{4}"), lambda m: F.when(~m.rlike("^(000|666|9)|-00-|-0000$"), F.lit(0.3)), r"\bssn\b|social security"),
+    "iban": (r"\b[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)\b", lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{3}"), lambda m: F.when(mod_97(m), F.lit(0.9)), "iban|account|bank"),
+    "short_card": (r"[0-9](?:[\x20-]?[0-9])++", lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){12}"), lambda m: F.when(F.call_function("luhn_check", digits(m)), with_length(digits(m), 13, 15, 0.3)), "card|visa|credit|amex"),
+    "ssn": (r"[0-9-]+", lambda t: t.rlike("[0-9]{3}-[0-9]{2}-[0-9]{4}"), lambda m: F.when(m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$") & ~m.rlike("^(000|666|9)|-00-|-0000$"), F.lit(0.3)), r"\bssn\b|social security"),
 }
 BASE = ("email", "ip", "card", "phone")
 
@@ -95,3 +95,60 @@ def op5_pii(spark, sf_dir: str) -> DataFrame:
         "doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in BASE), F.sha2(spans.joined(base), 256).alias("base_sha256"),
         spans.joined(all_).alias("spans"), F.array_join(F.transform(all_, lambda s: F.format_string("%.2f", s["score"])), ",").alias("scores"),
     )
+
+
+#: By kind, for OP5_SQL: the base score of match s, null if it fails. Patterns and context words are those of KINDS.
+SQL_SCORES = {
+    "email": "0.9",
+    "ip": "CASE WHEN list_aggregate([length(ltrim(p, '0')) < 4 AND CASE WHEN length(ltrim(p, '0')) < 4 THEN ('0' || ltrim(p, '0'))::INT <= 255 ELSE false END FOR p IN string_split(s, '.')], 'bool_and') THEN 0.6 END",
+    "card": "CASE WHEN luhn AND length(d) BETWEEN 16 AND 19 THEN 0.8 END",
+    "phone": "CASE WHEN length(d) BETWEEN 8 AND 15 THEN 0.6 END",
+    "iban": "CASE WHEN length(replace(s, ' ', '')) BETWEEN 15 AND 34 AND rest = 1 THEN 0.9 END",
+    "short_card": "CASE WHEN luhn AND length(d) BETWEEN 13 AND 15 THEN 0.3 END",
+    "ssn": "CASE WHEN regexp_full_match(s, '[0-9]{3}-[0-9]{2}-[0-9]{4}') AND NOT regexp_matches(s, '^(000|666|9)|-00-|-0000$') THEN 0.3 END",
+}
+
+
+def sql() -> str:
+    """The query as DuckDB SQL: matches are placed by the lengths of the pieces between them."""
+    found = []
+    for k, (kind, (pattern, *_)) in enumerate(KINDS.items()):
+        p = pattern.replace("++", "+")  # possessive where nothing follows, so greedy is the same
+        pieces = f"SELECT doc_id, text, regexp_extract_all(text, '{p}') AS m, string_split_regex(text, '{p}') AS g FROM d"
+        found.append(f"SELECT doc_id, text, {k} AS k, '{kind}' AS kind, unnest(list_zip(m, g[1:len(m)], range(len(m)))) AS z FROM ({pieces})")
+    worth = " ".join(f"WHEN '{kind}' THEN {score}" for kind, score in SQL_SCORES.items())
+    words = " ".join(f"WHEN '{kind}' THEN '{x[3]}'" for kind, x in KINDS.items())
+    counts = ", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind in BASE)
+    joined = "string_agg(kind || ':' || a || ':' || e, ',' ORDER BY k, a)"
+    digit = "substr(reverse(d), i::INT + 1, 1)::INT"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({" UNION ALL ".join(found)}),
+placed AS (
+  SELECT doc_id, text, k, kind, z[1] AS s, sum(length(z[1]) + length(z[2])) OVER (PARTITION BY doc_id, k ORDER BY z[3])::BIGINT AS e FROM found
+),
+parts AS (
+  SELECT *, e - length(s) AS a, regexp_replace(s, '[^0-9]', '', 'g') AS d, CASE WHEN kind = 'iban' THEN
+    array_to_string([CASE WHEN c BETWEEN '0' AND '9' THEN c ELSE (ascii(c) - 55)::VARCHAR END FOR c IN string_split(substr(replace(s, ' ', ''), 5) || left(replace(s, ' ', ''), 4), '')], '') END AS n
+  FROM placed
+),
+checked AS (
+  SELECT *, greatest(1, a - {CONTEXT} + 1) AS f,
+    CASE WHEN kind LIKE '%card' THEN list_sum([CASE WHEN i % 2 = 0 THEN {digit} ELSE {digit} * 2 - CASE WHEN {digit} > 4 THEN 9 ELSE 0 END END FOR i IN range(length(d))]) % 10 = 0 END AS luhn,
+    (((left(n, 30)::HUGEINT % 97)::VARCHAR || substr(n, 31, 30))::HUGEINT % 97)::VARCHAR || substr(n, 61) AS tail
+  FROM parts
+),
+scored AS (
+  SELECT *, CASE kind {worth} END + CASE WHEN regexp_matches(lower(substr(text, f, a - f + 1)), CASE kind {words} END) THEN {BONUS} ELSE 0.0 END AS score
+  FROM (SELECT *, tail::HUGEINT % 97 AS rest FROM checked)
+),
+spans AS (
+  SELECT doc_id, {counts}, {joined} FILTER (k < {len(BASE)}) AS base, {joined} AS spans, string_agg(printf('%.2f', score::DOUBLE), ',' ORDER BY k, a) AS scores
+  FROM scored WHERE score >= {LEAST} GROUP BY doc_id
+)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores
+FROM d LEFT JOIN spans USING (doc_id)
+"""
+
+
+OP5_SQL = sql()

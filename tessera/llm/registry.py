@@ -6,7 +6,7 @@ from tessera.llm.lm_score import op3_lm_score
 from tessera.llm.matroska import op1_matroska
 from tessera.llm.mixture import OP4_SQL, op4_mixture
 from tessera.llm.packing import op6_packing
-from tessera.llm.pii import op5_pii
+from tessera.llm.pii import OP5_SQL, op5_pii
 from tessera.llm.quality import op7_quality
 from tessera.llm.secrets_scan import op9_secrets
 from tessera.llm.simhash import op8_simhash
@@ -24,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixture": OP4_SQL, "op10_fixity": OP10_SQL}
+    return {"op4_mixture": OP4_SQL, "op5_pii": OP5_SQL, "op10_fixity": OP10_SQL}
