@@ -8,7 +8,7 @@ from tessera.llm.mixture import OP4_SQL, op4_mixture
 from tessera.llm.packing import op6_packing
 from tessera.llm.pii import OP5_SQL, op5_pii
 from tessera.llm.quality import op7_quality
-from tessera.llm.secrets_scan import op9_secrets
+from tessera.llm.secrets_scan import OP9_SQL, op9_secrets
 from tessera.llm.simhash import op8_simhash
 from tessera.llm.toxicity import op2_toxicity
 from tessera.llm.warc_merkle import OP10_SQL, op10_fixity
@@ -24,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixture": OP4_SQL, "op5_pii": OP5_SQL, "op10_fixity": OP10_SQL}
+    return {"op4_mixture": OP4_SQL, "op5_pii": OP5_SQL, "op9_secrets": OP9_SQL, "op10_fixity": OP10_SQL}

@@ -118,3 +118,67 @@ def op9_secrets(spark, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return found.select("doc_id", *map(count, BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def either_case(pattern: str) -> str:
+    """pattern with each letter outside brackets and escapes in both cases, ASCII only."""
+    out, inside, i = [], False, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            out.append(pattern[i : i + 2])
+            i += 2
+            continue
+        inside = (inside or c == "[") and c != "]"
+        out.append(f"[{c.lower()}{c.upper()}]" if c.isascii() and c.isalpha() and not inside else c)
+        i += 1
+    return "".join(out).replace(r"\[xX]20", r"\x20")
+
+
+def sql() -> str:
+    """The query as DuckDB SQL; runs of a class in place of lookarounds, and joins of intervals by document."""
+    quote = lambda p: p.replace("'", "''")
+    patterns = {
+        "assign": either_case(ASSIGN.pattern), "access": ACCESS.pattern, "hex": HEX.pattern, "weak_id": either_case(WEAK_ID.pattern),
+        "weak_secret": "[A-Za-z0-9+/_=-]+", "endpoint": either_case(ENDPOINT.pattern).replace(r"\s", r"\x09-\x0D\x20"),
+    }
+    found = []
+    for k, kind in enumerate(KINDS):
+        p = quote(patterns[kind])
+        pieces = f"SELECT doc_id, regexp_extract_all(text, '{p}') AS m, string_split_regex(text, '{p}') AS g FROM d"
+        found.append(f"SELECT doc_id, {k} AS k, '{kind}' AS kind, unnest(list_zip(m, g[1:len(m)], range(len(m)))) AS z FROM ({pieces})")
+    counts = ", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind in BASE)
+    joined = "string_agg(kind || ':' || a || ':' || e, ',' ORDER BY a, k, e)"
+    near = lambda x, y, by: f"{y}.doc_id = {x}.doc_id AND {y}.a <= {x}.e + {by} AND {y}.e >= {x}.a - {by}"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({" UNION ALL ".join(found)}),
+placed AS (
+  SELECT doc_id, k, kind, z[1] AS s, sum(length(z[1]) + length(z[2])) OVER (PARTITION BY doc_id, k ORDER BY z[3])::BIGINT AS e FROM found
+),
+shaped AS (
+  SELECT doc_id, k, kind, s, e - length(s) AS a, e FROM placed WHERE CASE kind
+    WHEN 'assign' THEN length(regexp_extract(s, '{quote(patterns["assign"])}', 2)) >= 6
+    WHEN 'access' THEN length(s) >= 20
+    WHEN 'weak_secret' THEN regexp_full_match(s, '[A-Za-z0-9+/_-]{{20,128}}={{0,2}}') AND regexp_matches(s, '[0-9]') AND regexp_matches(s, '[A-Za-z]')
+      AND list_sum([length(s) - length(replace(s, c, '')) FOR c IN list_distinct(string_split(s, ''))]) = length(s)
+      AND -list_sum([(length(s) - length(replace(s, c, ''))) / length(s)::DOUBLE * log2((length(s) - length(replace(s, c, ''))) / length(s)::DOUBLE) FOR c IN list_distinct(string_split(s, ''))]) >= {ENTROPY}
+    ELSE true END
+),
+strong AS (SELECT * FROM shaped WHERE k < {len(BASE)}),
+free AS (
+  SELECT x.* FROM shaped x WHERE k >= {len(BASE)}
+    AND NOT EXISTS (SELECT 1 FROM strong y WHERE {near("x", "y", -1)})
+    AND NOT (kind = 'weak_secret' AND EXISTS (SELECT 1 FROM shaped y WHERE y.kind = 'endpoint' AND {near("x", "y", -1)}))
+),
+parts AS (SELECT *, kind IN ('assign', 'hex', 'weak_secret') AS secret FROM (FROM strong UNION ALL FROM free)),
+linked AS (
+  SELECT x.* FROM parts x WHERE k < {len(BASE)} OR EXISTS (SELECT 1 FROM parts y WHERE y.secret <> x.secret AND {near("x", "y", SCOPE)})
+),
+spans AS (SELECT doc_id, {counts}, {joined} FILTER (k < {len(BASE)}) AS base, {joined} AS spans FROM linked GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN spans USING (doc_id)
+"""
+
+
+OP9_SQL = sql()
