@@ -56,12 +56,15 @@ KINDS = {
     "ssn": (r"[0-9-]+", lambda t: t.rlike("[0-9]{3}-[0-9]{2}-[0-9]{4}"), lambda m: F.when(m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$") & ~m.rlike("^(000|666|9)|-00-|-0000$"), F.lit(0.3)), r"\bssn\b|social security"),
 }
 BASE = ("email", "ip", "card", "phone")
+#: \b in the above means a boundary of ASCII words, which Java's own does not.
+BOUNDARY = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
 
 def with_spans(df: DataFrame, text: str, kinds: tuple[str, ...] = tuple(KINDS), least: float = LEAST) -> DataFrame:
     """Adds a column ``_<kind>`` of spans for each kind. Rows whose text is null have no spans."""
     for kind in kinds:
         pattern, maybe, base, words = KINDS[kind]
+        pattern, words = pattern.replace(r"\b", BOUNDARY), words.replace(r"\b", BOUNDARY)
 
         def score(match: Column, start: Column, end: Column, base=base, words=words) -> Column:
             first = F.greatest(F.lit(1).cast("long"), start - CONTEXT + 1)
