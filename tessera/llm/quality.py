@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACES, cut, id_and_text
+from tessera.llm.common import SPACES, col, cut, id_and_text
 
 SHARE, STEPS, LEAST_ROWS = 0.75, 4, 50
 CUT = 23.51  # the 0.9999 quantile of chi-square with four degrees of freedom
@@ -148,7 +148,8 @@ def with_groups(rows: DataFrame, usable: Column) -> tuple[DataFrame, bool]:
 
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cut_at: float = CUT) -> DataFrame:
     """doc_id, the counts, base_failed, distance (squared; null where there is no estimate) and kept."""
-    rows = statistics(id_and_text(df.withColumnsRenamed({lang_col: "lang", source_col: "source"}), id_col, text_col, "lang", "source")).drop("text")
+    named = df.select(col(id_col).alias("doc_id"), col(text_col).alias("text"), *(col(c).cast("string").alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"))))
+    rows = statistics(id_and_text(named, "doc_id", "text", "lang", "source")).drop("text")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = cut(rows.withColumns(vector()).withColumn("base_failed", failed))
     sound, few = with_groups(rows, ~F.col("base_failed"))
