@@ -32,15 +32,13 @@ BROADCAST_GROUPS = 20_000
 X = ("x0", "x1", "x2", "x3")
 
 
-def repeated_words(words: Column, hashed: Column) -> Column:
-    """Words covered by windows that occur twice or more. hashed: the windows' hashes, in order."""
-    at = F.array_sort(F.transform(hashed, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+def covered_words() -> Column:
+    """Words covered by windows that occur twice or more, from ``_sorted``: the windows' hashes and places, sorted."""
     same = lambda x, k: F.coalesce(F.get(F.col("_sorted"), k)["h"] == x["h"], F.lit(False))
     twice = F.filter("_sorted", lambda x, k: same(x, k - 1) | same(x, k + 1))
     places = F.array_sort(F.transform(twice, lambda x: x["i"]))
     begin = F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n"))
-    covered = F.aggregate(places, begin, lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(3), p - a["last"])).alias("n")), lambda a: a["n"])
-    return at, covered
+    return F.aggregate(places, begin, lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(3), p - a["last"])).alias("n")), lambda a: a["n"])
 
 
 def statistics(df: DataFrame, text: str = "text") -> DataFrame:
@@ -51,12 +49,12 @@ def statistics(df: DataFrame, text: str = "text") -> DataFrame:
     window = lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2))
     df = df.withColumn("_hashed", F.when(F.size("_words") >= 3, F.transform(F.sequence(F.lit(0), F.size("_words") - 3), window)).otherwise(F.array().cast("array<long>")))
     unlike = F.size(F.array_distinct("_hashed")) == F.size("_hashed")
-    at, covered = repeated_words(F.col("_words"), F.col("_hashed"))
-    df = df.withColumn("_sorted", F.when(~unlike, at))
+    in_order = F.array_sort(F.transform("_hashed", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    df = df.withColumn("_sorted", F.when(~unlike, in_order))
     counts = {
         "n_words": F.size("_words"), "word_chars": F.length(F.regexp_replace(t, SPACES, "")),
         "n_symbols": F.length(t) - F.length(F.translate(t, "#*$%&|<>", "")), "n_lines": F.size("_lines"),
-        "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")), "n_repeat_words": F.when(F.col("_sorted").isNull(), F.lit(0)).otherwise(covered),
+        "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")), "n_repeat_words": F.when(F.col("_sorted").isNull(), F.lit(0)).otherwise(covered_words()),
     }
     return df.withColumns({k: c.cast("long") for k, c in counts.items()}).drop("_words", "_lines", "_hashed", "_sorted")
 
