@@ -119,6 +119,13 @@ def test_secret_links():
     assert [secrets_scan.KINDS[k] for *_, k in secrets_scan.scan(both)] == ["access", "assign", "endpoint"]
 
 
+def test_long_weak_secrets():
+    for n in (128, 129, 5000):
+        key = ("AbCd3fGh1jKlMn0pQrStUvWxYz" * n)[:n]
+        text = f"login: bob42 {key}== at https://x.example.com/v1"
+        assert [(secrets_scan.KINDS[k], b - a) for a, b, k in secrets_scan.scan(text)] == [("weak_id", 12), ("weak_secret", n + 2), ("endpoint", 24)]
+
+
 def brute_links(found, reach):
     """All pairs, for comparison with the sweep."""
     role = {0: "s", 1: "i", 2: "s", 3: "i", 4: "s", 5: "e"}
