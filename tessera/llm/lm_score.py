@@ -421,7 +421,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", class_c
     n_rows, n_train, v_train = words.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("first") & (F.col("c_all") > 0), 1))).first()
     known = head_count(words, head)
     shards = words.coalesce(max(1, -(-n_rows // shard)))
-    scored = cut(with_scores(words, train(shards, known)))
+    scored = cut(with_scores(words, train(shards, 1)))
     top = scored.filter(F.col("c") >= known).select("word", "class", "c_all", "lp").toArrow()
     number: dict[int, dict[bytes, int]] = defaultdict(dict)
     for i, (class_, word) in enumerate(zip(top["class"].to_pylist(), top["word"].to_pylist())):

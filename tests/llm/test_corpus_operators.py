@@ -225,6 +225,11 @@ def test_scores(spark, small, odd, none):
     assert lm_score.score(none).count() == 0
 
 
+def test_scores_do_not_depend_on_what_is_broadcast(small):
+    few, all_ = ({r.doc_id: r.score for r in lm_score.score(small, head=n).collect()} for n in (50, lm_score.HEAD))
+    assert few == pytest.approx(all_, rel=1e-4)
+
+
 def test_model_learns(spark):
     found = lm_score.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).toPandas()
     held = found[found.held_out]
