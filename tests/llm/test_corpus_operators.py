@@ -1,7 +1,6 @@
-"""SimHash, mixing, packing, language-model scoring, WARC audit and the pipeline."""
+"""SimHash, mixing, packing, WARC audit and the pipeline."""
 
 import collections
-import math
 import zlib
 
 import duckdb
@@ -13,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from tessera.llm import lm_score, mixture, packing, registry, simhash, warc_merkle
+from tessera.llm import mixture, packing, registry, simhash, warc_merkle
 
 DATA = "/root/testdata/sf0.001"
 
@@ -209,57 +208,6 @@ def test_tokens_are_the_librarys(small, odd, none):
     assert packing.pack_documents(odd).select("sequence_id", "offset").distinct().count() == packing.pack_documents(odd).count()
 
 
-# Language model
-
-
-def test_scores(spark, small, odd, none):
-    for df, class_col in ((small, "lang"), (odd, None), (odd, "lang")):
-        docs = [(r.doc_id, (r.text or "").encode().lower().split() + [b"\n"]) for r in df.select("doc_id", "text").collect()]
-        held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
-        c = collections.Counter(w for i, words in docs if not held(i) for w in words)
-        n, v = sum(c.values()), len(c)
-        want = sorted(((i, held(i), len(ws), sum(c[w] > 0 for w in ws), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), 6)) for i, ws in docs), key=repr)
-        found = lm_score.score(df, class_col=class_col, head=200, shard=5000).collect()
-        assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in found), key=repr) == want
-        assert all(r.score < 0 and r.bits_per_byte > 0 for r in found)
-    assert lm_score.score(none).count() == 0
-
-
-def test_scores_do_not_depend_on_what_is_broadcast(small):
-    few, all_ = ({r.doc_id: r.score for r in lm_score.score(small, head=n).collect()} for n in (50, lm_score.HEAD))
-    assert few == pytest.approx(all_, rel=1e-4)
-
-
-def test_model_learns(spark):
-    found = lm_score.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).toPandas()
-    held = found[found.held_out]
-    assert held.score.sum() > held.base_score.sum() and held.bits_per_byte.mean() < 2.5
-
-
-def test_word_probabilities_sum_to_one():
-    """Over all first bytes, the next-byte distribution of a trained model is a distribution."""
-    words = [b"\1" + w for w in (b"the", b"then", b"of", b"off", b"a")]
-    counts = np.array([50, 7, 30, 2, 11])
-    table = np.zeros((lm_score.STARTS[-1], 2), np.float32)
-    lm_score.count_contexts(table, words, counts, 1)
-    weights, refined = lm_score.first_weights(), lm_score.first_refined()
-    for _ in range(50):
-        lm_score.learn(table, words, counts, 1, weights, refined, 0.02)
-    data, ctx, starts = lm_score.flat([b"\1" + bytes([b]) for b in range(256) if b])
-    last, total = lm_score.before(data, starts), np.ones(len(starts))
-    p_of = (refined[:, :, 1] / refined.sum(axis=2)).reshape(-1)
-    for j, node, bit in lm_score.bits(data):
-        odds, seen = lm_score.inputs(table, ctx, node, bit, None, None)
-        x = (weights[j * (len(lm_score.GRADES) + 1) + seen].T * odds).sum(axis=0)
-        low, part = lm_score.levels(x)
-        at = (j * 256 + last) * len(lm_score.LEVELS) + low
-        p = 0.5 * lm_score.squash(x) + 0.5 * (p_of[at] * (1 - part) + p_of[at + 1] * part)
-        total *= np.where(bit == 1, p, 1 - p)[starts]
-    assert total.sum() == pytest.approx(1, abs=1e-3) and total.argmax() + 1 == ord("t")
-    lp = lm_score.score_words(table, weights, refined, words + [b"\1zqxj"])
-    assert lp[0] > lp[2] > lp[1] and lp[-1] < lp[:-1].min()
-
-
 # WARC
 
 
