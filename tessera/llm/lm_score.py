@@ -55,7 +55,7 @@ LEVELS = np.linspace(-12, 12, 25, dtype=np.float32)  # log odds of the refining
 REFINED = (DEPTHS * 256, len(LEVELS), 2)
 END = b"\n"
 CLASSES = (1 << 14) - 1  # hashes of the class; one more for null
-SLICE = 1 << 25  # bytes of text read at a time
+SLICE = 1 << 23  # bytes of text read at a time
 
 #: What a token can end with: 1 the end of a sentence, 2 other punctuation, 3 anything else; 0 stands for no token.
 ENDING = np.full(256, 3, np.uint8)
@@ -147,7 +147,7 @@ def spell(words: pa.Array, kinds: np.ndarray) -> Spelled:
             ctx[o] |= last << np.uint64(8 * (k - 1))
     ctx[0] |= np.minimum(place, 3).astype(np.uint64) << np.uint64(8)
     # The word so far: a polynomial of its bytes.
-    powers = np.cumprod(np.full(int(lengths.max(initial=1)), 0x9E3779B97F4A7C15, np.uint64))
+    powers = np.cumprod(np.full(int(lengths.max(initial=1)), 0xD1342543DE82EF95, np.uint64))
     sums = np.cumsum((data + np.uint64(1)) * powers[place]) - (data + np.uint64(1)) * powers[place]
     ctx[4] = sums - np.repeat(sums[starts], lengths)
     kind = np.repeat(kinds.astype(np.uint64) + np.uint64(1), lengths) * np.uint64(0xC2B2AE3D27D4EB4F)
@@ -368,7 +368,7 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def grouped(key: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, all below limit, and how often each occurs."""
-    if limit <= max(1 << 16, 16 * len(key)):
+    if limit <= max(1 << 16, 8 * len(key)):
         n = np.bincount(key, minlength=limit)
         found = np.flatnonzero(n)
         return found, n[found]
