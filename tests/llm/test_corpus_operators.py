@@ -139,12 +139,25 @@ def test_mix_takes_what_it_should(small, odd, none, monkeypatch):
         for r in found:
             by[r.source].append(r)
         for part in by.values():
-            taken, largest = sum(r.whole * r.size + r.part for r in part), max(r.size for r in part)
-            assert abs(taken - part[0].target) <= (1 if df is small else 2 * largest)
+            assert abs(sum(r.whole * r.size + r.part for r in part) - part[0].target) <= 1
     assert mixture.mix(none).count() == 0 and mixture.repeat(none).count() == 0
     assert rows(mixture.mix(small)) == rows(mixture.mix(small.repartition(7)))
 
 
+@pytest.mark.parametrize("edges", [0, 1000])
+def test_rows_that_share_an_id_are_taken_one_by_one(spark, monkeypatch, edges):
+    monkeypatch.setattr(mixture, "CELL_ROWS", 7)
+    monkeypatch.setattr(mixture, "BROADCAST_EDGES", edges)
+    docs = [(None, "w x y", "a")] * 400 + [(5, "v w", "b")] * 300 + [(6, f"t{i} u", "c") for i in range(200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    found = mixture.mix(df).collect()
+    for source in "abc":
+        own = [r for r in found if r.source == source]
+        assert abs(sum(r.whole * r.size + r.part for r in own) - own[0].target) <= 1
+    again = mixture.mix(df.repartition(5))
+    assert rows(again) == rows(mixture.mix(df)) and len(found) == len(docs)
+
+
 def test_repeat(small, odd):
     plan = {r.doc_id: r for r in mixture.mix(small).collect()}
     found = mixture.repeat(small)
