@@ -4,14 +4,14 @@ P(grade <= k) = sigmoid(theta_k - w x): one weight vector for all ordered thresh
 (letter runs, folded to lower case), beginnings of words, and beginnings whose share of all words reaches one of SHARES, as
 insults are inflected and joined to other stems. Those features of the labelled texts are used that mark toxic or clean
 texts by the z-score of their smoothed log odds, at most MAX_FEATURES of them. The fit takes at most MAX_LABELLED labelled
-rows, by the order of a hash of their id; this bound is a parameter. What reaches the driver is the selected features and,
+rows, by the order of a hash of their id, however many rows an id has; this bound is a parameter. What reaches the driver is the selected features and,
 for each labelled text, the numbers of those it has.
 
 Labels here are binary, so grades are made of them: 0 clean, 1 toxic, 2 toxic with at least the median number of features
 that mark toxic texts. Any other integer grades from 0 can be given instead.
 
 Edge cases: a null or empty text has no features and gets the grade of such texts; labels that are null or have no document
-are left out, of repeated labels the highest counts; without labels of both kinds every text is clean with severity 0;
+are left out, of repeated labels the highest counts, and equal rows of one id count once; without labels of both kinds every text is clean with severity 0;
 repeated rows and ids give a row each; an empty table gives an empty result; other columns are left out by ``score`` and
 kept by ``drop_toxic``.
 """
@@ -103,11 +103,15 @@ def fit_grades(rows: list[list[int]], grades: np.ndarray, n_features: int, n_gra
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, bound: int) -> DataFrame:
-    """doc_id, label and text of at most bound labelled documents, kept in the checkpoint folder."""
+    """doc_id, label and text of at most bound labelled texts, kept in the checkpoint folder. Equal rows count as one."""
     chosen = labels.select(col(id_col).alias("label_id"), col(label_col).cast("int").alias("label")).dropna().groupBy("label_id").agg(F.max("label").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("label_id", F.lit(SEED)), "label_id").limit(bound)
-    rows = id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
-    return cut(rows.select("doc_id", "label", "text"))
+    texts = id_and_text(docs, id_col, text_col).withColumn("mark", F.xxhash64("text"))
+    # An id can have any number of rows: they are bounded by themselves, before any text is moved.
+    keys = texts.select("doc_id", "mark").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("label_id", "label", F.col("mark").alias("label_mark")).distinct()
+    keys = keys.orderBy(F.xxhash64("label_id", F.lit(SEED)), "label_id", "label_mark").limit(bound)
+    rows = texts.join(F.broadcast(keys), (F.col("doc_id") == F.col("label_id")) & (F.col("mark") == F.col("label_mark")))
+    return cut(rows.groupBy("doc_id", "mark", "label").agg(F.first("text").alias("text")).drop("mark"))
 
 
 def featured(rows: DataFrame, number: dict[str, int] | None = None) -> DataFrame:

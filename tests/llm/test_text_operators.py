@@ -41,6 +41,14 @@ def test_ordinal_fit_recovers_order():
     assert w == pytest.approx([3, 1.5, 0, -2], abs=0.6) and theta == pytest.approx([1, 3, 4], abs=0.6)
 
 
+def test_labelled_rows_are_bounded_by_rows(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "same")] * 300, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    assert toxicity.labelled(docs, labels, "doc_id", "text", "toxic", 10).count() == 10
+    rows = toxicity.labelled(docs, labels, "doc_id", "text", "toxic", 10_000)
+    assert rows.count() == 501 and rows.filter("label = 0").collect()[0].text == "same"
+
+
 def test_toxicity_edges(spark, odd, none):
     labels = spark.createDataFrame([(1, 0), (1, 1), (3, 0), (None, 1), (7, None), (99, 1)], "doc_id long, toxic int")
     for docs, lab in ((odd, labels), (none, labels), (odd, labels.filter("1 = 0")), (odd, labels.filter("toxic = 1"))):
