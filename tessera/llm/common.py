@@ -61,16 +61,13 @@ def lower_ascii(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass").lower()
 
 
-def root(df: DataFrame) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir, or on a session without one a local default."""
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return where or "/tmp/checkpoints"
-
-
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder and cut its lineage there; survives the loss of executors."""
-    sc = df.sparkSession.sparkContext
+    """Materialise df in spark.checkpoint.dir, which driver and executors share, and cut its lineage there; survives the loss
+    of executors. A session without that folder is refused unless it is local, where any folder is shared."""
+    spark, sc = df.sparkSession, df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(root(df))
+        where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        if not where and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="checkpoints"))
     return df.checkpoint(eager=True)
