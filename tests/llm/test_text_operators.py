@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -102,6 +103,20 @@ def test_pii_against_plain_regex(spark, tmp_path):
         assert set(want) <= set(r.spans.split(",")) | {""}
 
 
+def test_long_texts_take_linear_time(spark, tmp_path):
+    many = "é a@b.cd, " * 50_000
+    texts = ["x@y " + "a" * 300_000, many, "1.2.3.4 " * 5000 + "7" * 300_000 + ".1", "a@b.c_d@e.f@g.h 1.2.3.4.5.6.7.8.9"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    began = time.time()
+    for r in pii.op5_pii(spark, str(tmp_path)).collect():
+        # The plain search would take the square of a run's length.
+        known = {0: [], 2: [f"ip:{8 * i}:{8 * i + 7}" for i in range(5000)]}
+        want = known[r.doc_id] if r.doc_id in known else base_spans(texts[r.doc_id])
+        assert hashlib.sha256(",".join(want).encode()).hexdigest() == r.base_sha256
+    clean = pii.redact(spark.read.parquet(f"{tmp_path}/documents.parquet")).filter("doc_id = 1").first().text
+    assert clean == many.replace("a@b.cd", "[EMAIL]") and time.time() - began < 90
+
+
 def test_redaction(spark, odd, none):
     df = spark.createDataFrame([(1, "to a@b.cd or 10.1.1.1!", 5), (2, None, None), (3, "clean 😀", 1)], "doc_id long, text string, `text.more` int")
     assert rows(pii.redact(df)) == [(1, "to [EMAIL] or [IP]!", 5), (2, None, None), (3, "clean 😀", 1)]
