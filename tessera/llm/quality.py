@@ -3,12 +3,17 @@
 DataFrame functions only. Each text gives counts; four transformed statistics form its vector: the mean word length (drawn
 towards PRIOR in short texts) and the square roots of the rates of symbols, of repeated lines and of words in repeated
 windows. Per language and source, location and scatter are those of the three quarters of texts that lie most closely
-together, found by concentration steps from medians: distances to the estimate, the closest three quarters, their mean and
-covariance, and again. A text is kept if its squared Mahalanobis distance is at most ``CUT``.
+together. Concentration steps find them, from two starts, medians with the spread of the middle halves and mean with
+covariance: distances to the estimate, the closest three quarters, their mean and covariance, and again while the
+determinant falls. Of each group's estimates that of the least determinant counts. A text is kept if its squared Mahalanobis
+distance is at most ``CUT``.
 
 All steps are grouped sums, with a histogram of log distances in place of a sort, so a hot language or source is summed
-where its rows lie. Groups under ``LEAST_ROWS`` texts take their language's estimate, small languages that of all texts.
-FLOORS are added to the standard deviations, as most texts have rates of exactly zero.
+where its rows lie. Each text counts in three groups: its language and source, its language, and all. Texts of groups under
+``LEAST_ROWS`` are measured by the estimate of their language over all its texts, those of small languages by that of all.
+FLOORS are added to the standard deviations, as most texts have rates of exactly zero; they bound from below what can be
+rejected: symbols alone above 7 % of characters, repeated lines alone above two thirds. Repeated windows alone are left to
+the base rule.
 
 Edge cases: a null or empty text has no words, fails the base rule and is not kept; null languages and sources form groups
 of their own; repeated rows and ids give a row each; an empty table gives an empty result; other columns are left out.
@@ -17,19 +22,23 @@ of their own; repeated rows and ids give a row each; an empty table gives an emp
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import SPACES, col, cut, id_and_text
 
-SHARE, STEPS, LEAST_ROWS = 0.75, 4, 50
+SHARE, LEAST_ROWS = 0.75, 50
+FALL = 1e-3  # a step counts if it lowers the log determinant by more
 CUT = 23.51  # the 0.9999 quantile of chi-square with four degrees of freedom
 FLOORS = (0.25, 0.055, 0.17, 0.17)
 PRIOR, PRIOR_WORDS = 5.0, 20
 LOG_BINS = 32  # bins of the distance histogram a unit of log distance
 BROADCAST_GROUPS = 20_000
 X = ("x0", "x1", "x2", "x3")
+ESTIMATE = (*(f"m{i}" for i in range(len(X))), *(f"l{i}{j}" for i in range(len(X)) for j in range(i + 1)))
+ALL = "all"
 
 
 def covered_words() -> Column:
@@ -80,16 +89,17 @@ def consistency(share: float = SHARE, dof: int = len(X)) -> float:
 
 
 def factored(stats: DataFrame) -> DataFrame:
-    """Adds l00 ... l33, the Cholesky factor of the scatter v00 ... v33."""
+    """Adds l00 ... l33, the Cholesky factor of the scatter v00 ... v33, and log_det, the log of its determinant."""
     for i in range(len(X)):
         for j in range(i + 1):
             rest = F.col(f"v{i}{j}") - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
             stats = stats.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l{j}{j}"))
-    return stats.select("grp", *(f"m{i}" for i in range(len(X))), *(f"l{i}{j}" for i in range(len(X)) for j in range(i + 1)))
+    log_det = sum((2 * F.log(f"l{i}{i}") for i in range(len(X))), F.lit(0.0))
+    return stats.select("grp", log_det.alias("log_det"), *ESTIMATE)
 
 
 def with_distance(rows: DataFrame, stats: DataFrame, few: bool) -> DataFrame:
-    """Adds d2, the squared Mahalanobis distance, by forward substitution."""
+    """Adds d2, the squared Mahalanobis distance to the estimate of grp, by forward substitution; null without one."""
     out = rows.join(F.broadcast(stats) if few else stats, "grp", "left")
     for i, x in enumerate(X):
         rest = F.col(x) - F.col(f"m{i}") - sum((F.col(f"l{i}{k}") * F.col(f"y{k}") for k in range(i)), F.lit(0.0))
@@ -108,7 +118,7 @@ def scatter(rows: DataFrame, factor: float) -> DataFrame:
     return rows.groupBy("grp").agg(*aggregates)
 
 
-def first_estimate(rows: DataFrame) -> DataFrame:
+def from_medians(rows: DataFrame) -> DataFrame:
     """Medians, and scatters from the middle halves."""
     quartiles = rows.groupBy("grp").agg(*(F.percentile_approx(x, F.array(*map(F.lit, (0.25, 0.5, 0.75))), F.lit(1000)).alias(f"q{i}") for i, x in enumerate(X)))
     columns = [F.get(f"q{i}", F.lit(1)).alias(f"m{i}") for i in range(len(X))]
@@ -118,30 +128,50 @@ def first_estimate(rows: DataFrame) -> DataFrame:
     return quartiles.select("grp", *columns)
 
 
-def fit(rows: DataFrame, few: bool, steps: int = STEPS) -> DataFrame:
-    """A factored estimate for each grp of rows (columns grp, x0 ... x3), which must be cheap to read again."""
-    stats = cut(factored(first_estimate(rows)))
-    for _ in range(steps):
-        far = with_distance(rows, stats, few).withColumn("bin", F.floor(F.log(F.col("d2") + 1e-6) * LOG_BINS))
-        w = Window.partitionBy("grp")
-        bins = far.groupBy("grp", "bin").agg(F.count("*").alias("n"))
-        run = bins.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w))
-        edge = run.filter(F.col("upto") >= F.ceil(F.col("all") * SHARE)).groupBy("grp").agg(F.min("bin").alias("edge"))
-        close = far.join(F.broadcast(edge) if few else edge, "grp").filter("bin <= edge")
-        stats = cut(factored(scatter(close, consistency())))
-    return stats
+def concentrated(rows: DataFrame, stats: DataFrame, few: bool) -> DataFrame:
+    """One step: the estimates from the share of each group's rows that is closest to stats."""
+    far = with_distance(rows, stats.drop("log_det"), few).withColumn("bin", F.floor(F.log(F.col("d2") + 1e-6) * LOG_BINS))
+    w = Window.partitionBy("grp")
+    bins = far.groupBy("grp", "bin").agg(F.count("*").alias("n"))
+    run = bins.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w))
+    edge = run.filter(F.col("upto") >= F.ceil(F.col("all") * SHARE)).groupBy("grp").agg(F.min("bin").alias("edge"))
+    close = far.join(F.broadcast(edge) if few else edge, "grp").filter("bin <= edge")
+    return factored(scatter(close, consistency()))
+
+
+def fit(rows: DataFrame, few: bool) -> DataFrame:
+    """A factored estimate for each grp of rows (columns grp, x0 ... x3), which must be cheap to read again.
+
+    Both starts go through the same steps side by side, as groups of their own.
+    """
+    starts = {"m|": from_medians(rows), "c|": scatter(rows, 1.0)}
+    first = reduce(DataFrame.unionByName, (df.withColumn("grp", F.concat(F.lit(name), "grp")) for name, df in starts.items()))
+    each = rows.withColumn("grp", F.explode(F.array(*(F.concat(F.lit(name), "grp") for name in starts))))
+    # The determinant of a start is of other rows than the steps'; the first step's is the first that can fall.
+    now = cut(concentrated(each, factored(first), few))
+    active, open_ = each, True
+    while open_:
+        later = concentrated(active, now, few).select("grp", *(F.col(c).alias(f"_{c}") for c in ("log_det", *ESTIMATE)))
+        falls = F.coalesce(F.col("_log_det") < F.col("log_det") - FALL, F.lit(False))
+        both = cut(now.join(later, "grp", "left").withColumn("falls", falls))
+        now = both.select("grp", *(F.when(F.col("falls"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in ("log_det", *ESTIMATE)))
+        going = both.filter("falls").select("grp")
+        active, open_ = each.join(F.broadcast(going) if few else going, "grp", "left_semi"), going.limit(1).count()
+    least = F.min_by(F.struct(*ESTIMATE), "log_det").alias("s")
+    return cut(now.groupBy(F.expr("substring(grp, 3)").alias("grp")).agg(least).select("grp", "s.*"))
 
 
 def with_groups(rows: DataFrame, usable: Column) -> tuple[DataFrame, bool]:
-    """Adds grp: language and source, or language, or all, whichever first has enough usable rows. Also whether groups are few."""
+    """Adds fine and coarse, the names of a text's groups, and grp, the first of fine, coarse and all with enough usable rows;
+    also whether groups are few."""
     part = lambda c: F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("-"))
-    named = rows.withColumn("_fine", F.concat(part("lang"), F.lit("/"), part("source"))).withColumn("_coarse", part("lang"))
-    sizes = cut(named.groupBy("_fine", "_coarse").agg(F.count(F.when(usable, 1)).alias("n")))
+    named = rows.withColumn("fine", F.concat(part("lang"), F.lit("/"), part("source"))).withColumn("coarse", part("lang"))
+    sizes = cut(named.groupBy("fine", "coarse").agg(F.count(F.when(usable, 1)).alias("n")))
     few = sizes.count() <= BROADCAST_GROUPS
-    coarse = sizes.groupBy("_coarse").agg(F.sum("n").alias("_coarse_n"))
-    grp = F.when(F.col("n") >= LEAST_ROWS, F.col("_fine")).when(F.col("_coarse_n") >= LEAST_ROWS, F.col("_coarse")).otherwise("all")
-    table = sizes.join(coarse, "_coarse").select(F.col("_fine"), grp.alias("grp"))
-    return named.join(F.broadcast(table) if few else table, "_fine").drop("_fine", "_coarse"), few
+    whole = sizes.groupBy("coarse").agg(F.sum("n").alias("coarse_n"))
+    grp = F.when(F.col("n") >= LEAST_ROWS, F.col("fine")).when(F.col("coarse_n") >= LEAST_ROWS, F.col("coarse")).otherwise(ALL)
+    table = sizes.join(whole, "coarse").select(F.col("fine").alias("_fine"), grp.alias("grp"))
+    return named.join(F.broadcast(table) if few else table, F.col("fine") == F.col("_fine")).drop("_fine"), few
 
 
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cut_at: float = CUT) -> DataFrame:
@@ -151,9 +181,9 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = cut(rows.withColumns(vector()).withColumn("base_failed", failed))
     sound, few = with_groups(rows, ~F.col("base_failed"))
-    fine = sound.filter("not base_failed").select("grp", *X)
-    # A text in a small group is measured by a larger one, whose estimate is over all its texts.
-    stats = fit(fine, few)
+    # A text counts in all its groups, whichever of them it is measured by.
+    fine = sound.filter("not base_failed").select(F.explode(F.array("fine", "coarse", F.lit(ALL))).alias("grp"), *X)
+    stats = fit(cut(fine), few)
     out = with_distance(sound, stats, few)
     kept = ~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= cut_at)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.col("d2").alias("distance"))

@@ -1,10 +1,11 @@
 """Toxicity, PII, secrets and quality rules."""
 
 import hashlib
+import math
 import random
 import re
 import time
-from collections import Counter
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -204,17 +205,64 @@ def test_statistics(spark, odd, none, small):
 
 
 def brute_mcd(x):
-    """The same concentration steps on one group with numpy."""
+    """Mean and covariance by the same concentration steps from the same starts on one group, with numpy."""
     floors = np.diag(np.square(quality.FLOORS))
     q = np.array([[np.sort(c)[max(0, int(np.ceil(p * len(c))) - 1)] for p in (0.25, 0.5, 0.75)] for c in x.T])
-    mean, cov = q[:, 1], np.diag(((q[:, 2] - q[:, 0]) / 1.349) ** 2) + floors
-    d2 = lambda: np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
-    for _ in range(quality.STEPS):
-        bins = np.floor(np.log(d2() + 1e-6) * quality.LOG_BINS)
-        edge = np.sort(bins)[int(np.ceil(len(x) * quality.SHARE)) - 1]
-        close = x[bins <= edge]
-        mean, cov = close.mean(axis=0), np.cov(close.T, bias=True) * quality.consistency() + floors
-    return d2()
+
+    def step(mean, cov):
+        bins = np.floor(np.log(distances(x, mean, cov) + 1e-6) * quality.LOG_BINS)
+        close = x[bins <= np.sort(bins)[int(np.ceil(len(x) * quality.SHARE)) - 1]]
+        return close.mean(axis=0), np.cov(close.T, bias=True) * quality.consistency() + floors
+
+    log_det = lambda s: np.linalg.slogdet(s[1])[1]
+    best = None
+    for start in ((q[:, 1], np.diag(((q[:, 2] - q[:, 0]) / 1.349) ** 2) + floors), (x.mean(axis=0), np.cov(x.T, bias=True) + floors)):
+        now = step(*start)
+        while log_det(later := step(*now)) < log_det(now) - quality.FALL:
+            now = later
+        if best is None or log_det(now) < log_det(best):
+            best = now
+    return best
+
+
+def distances(x, mean, cov):
+    return np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+
+
+def test_verdicts_against_numpy(spark, monkeypatch):
+    """Groups above and below LEAST_ROWS: each text is measured by all texts of its group, its language, or all."""
+    monkeypatch.setattr(quality, "LEAST_ROWS", 20)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    found = {r.doc_id: r for r in quality.judge(spark.createDataFrame(docs)).collect()}
+    vectors, fine, coarse = {}, defaultdict(list), defaultdict(list)
+    for r in docs:
+        n, chars, symbols, dups, covered = plain_counts(r.text)
+        lines = sum(bool(x.strip(" \t\n\v\f\r")) for x in (r.text or "").split("\n"))
+        if n >= 50 and 100 * covered <= 50 * n:
+            vectors[r.doc_id] = ((chars + 100) / (n + 20), math.sqrt(symbols / chars), math.sqrt(dups / lines), math.sqrt(covered / n))
+            fine[r.lang, r.source].append(r.doc_id)
+            coarse[r.lang].append(r.doc_id)
+    sizes = [len(x) for x in fine.values()]
+    assert min(sizes) < quality.LEAST_ROWS <= max(sizes)
+    group = {True: lambda r: fine[r.lang, r.source], False: lambda r: coarse[r.lang] if len(coarse[r.lang]) >= quality.LEAST_ROWS else list(vectors)}
+    fits = {}
+    for r in docs:
+        if r.doc_id in vectors:
+            own = group[len(fine[r.lang, r.source]) >= quality.LEAST_ROWS](r)
+            if (key := (own[0], len(own))) not in fits:
+                fits[key] = brute_mcd(np.array([vectors[i] for i in own]))
+            want = distances(np.array([vectors[r.doc_id]]), *fits[key])[0]
+            assert found[r.doc_id].distance == pytest.approx(want, rel=1e-5) and found[r.doc_id].kept == (want <= quality.CUT)
+        else:
+            assert found[r.doc_id].base_failed and not found[r.doc_id].kept
+
+
+def test_junk_in_a_small_source_is_rejected(spark):
+    clean = [(i, " ".join(f"word{(i * 7 + k * k) % 977}" for k in range(80)), "en", "a") for i in range(120)]
+    junk = "#$%& ab|<> " * 3 + " ".join(f"#w{k}$ <{k * k}>" for k in range(60))
+    df = spark.createDataFrame([*clean, (500, junk, "en", "a"), (501, junk, "en", "b"), (502, clean[3][1], "en", "b"), (503, junk, "fr", "z")], "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id: r.kept for r in quality.judge(df).collect()}
+    assert [kept[i] for i in (500, 501, 502, 503)] == [False, False, True, False] and all(kept[i] for i in range(120))
 
 
 def test_outliers_against_numpy(spark):
@@ -224,7 +272,7 @@ def test_outliers_against_numpy(spark):
     df = spark.createDataFrame([(i, "g", *map(float, r)) for i, r in enumerate(data)], "i int, grp string, x0 double, x1 double, x2 double, x3 double")
     stats = quality.fit(df.select("grp", *quality.X), True)
     found = {r.i: r.d2 for r in quality.with_distance(df, stats, True).collect()}
-    assert [found[i] for i in range(400)] == pytest.approx(brute_mcd(data).tolist(), rel=1e-6)
+    assert [found[i] for i in range(400)] == pytest.approx(distances(data, *brute_mcd(data)).tolist(), rel=1e-6)
     assert all(found[i] > quality.CUT for i in range(40)) and sum(found[i] > quality.CUT for i in range(40, 400)) <= 2
     assert quality.consistency() == pytest.approx(1.486, abs=0.01)
 
