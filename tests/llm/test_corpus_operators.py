@@ -1,6 +1,7 @@
 """SimHash, mixing, packing, WARC audit and the pipeline."""
 
 import collections
+import gzip
 import zlib
 
 import duckdb
@@ -252,6 +253,27 @@ def test_audit_finds_just_the_damage(spark):
     assert roots.count() == ours.select("file").distinct().count() and a.filter("level = 0").count() == 300
 
 
+def test_offsets_and_archives_that_are_files(spark, tmp_path):
+    store = warc_merkle.lay_out(warc_merkle.warc_records(pages(spark, 60)), 20)
+    ours = warc_merkle.leaves(store).cache()
+    moved = ours.withColumn("start", ours.start + 1000).withColumn("end", ours.end + 1000)
+    trees = [warc_merkle.tree(x, 4, 3).cache() for x in (ours, moved, ours.filter("id <> 7"))]
+    assert {r.status for r in warc_merkle.audit(trees[0], trees[1], 4, 3).collect()} == {"moved"}
+    assert warc_merkle.audit(trees[0], trees[1], 4, 3).count() == 60
+    where = ours.filter("id = 7").first()
+    assert [(r.file, r.seq, r.status) for r in warc_merkle.audit(trees[0], trees[2], 4, 3).collect()] == [(where.file, where.seq, "missing")]
+    assert [r.status for r in warc_merkle.audit(trees[2], trees[0], 4, 3).collect()] == ["extra"]
+    whole = collections.defaultdict(bytes)
+    for r in store.orderBy("file", "seq").collect():
+        whole[r.file] += bytes(r.record)
+    for i, (name, data) in enumerate(whole.items()):
+        (tmp_path / f"{name}.warc").write_bytes(gzip.compress(data) if i % 2 else data)
+    back = warc_merkle.read_warc(spark, str(tmp_path))
+    key = lambda r: (r.file.rsplit("/", 1)[-1].removesuffix(".warc"), r.seq, r.start, r.end, bytes(r.record))
+    assert sorted(map(key, back.collect())) == sorted(map(key, store.collect()))
+    assert {r.body.decode() for r in back.collect()} == {f"<p>page {i}</p>" * (i % 5) for i in range(60)}
+
+
 def test_audit_edges(spark):
     odd = spark.createDataFrame([(1, None, None, "x"), (1, None, None, "x"), (None, "u", "h" * 100_000, None), (2, "", "", "")], "page_id long, url string, html string, record string")
     store = warc_merkle.lay_out(warc_merkle.warc_records(odd))
