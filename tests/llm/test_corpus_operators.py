@@ -296,6 +296,22 @@ def test_against_sql(spark, name):
     assert df.columns == [c[0] for c in found.description] and ordered(tuple(r) for r in df.collect()) == ordered(found.fetchall())
 
 
+def firsts_of_near_copies(docs):
+    """The least id of each component of texts whose sets of five-word shingles have a similarity of 0.8 or more."""
+
+    def shingles(text):
+        words = (text or "").encode().lower().split()
+        return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
+
+    sets, first = [(i, shingles(t)) for i, t in docs], {i: i for i, _ in docs}
+    for n, (i, a) in enumerate(sets):
+        for j, b in sets[:n]:
+            if len(a & b) >= 0.8 * len(a | b) and first[i] != first[j]:
+                old, new = max(first[i], first[j]), min(first[i], first[j])
+                first = {k: new if v == old else v for k, v in first.items()}
+    return set(first.values())
+
+
 def test_pipeline_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash near-dedup", "pii", "mixing", "packing"]
@@ -310,7 +326,8 @@ def test_pipeline_stages(spark, tmp_path):
     clean = texts("toxicity")
     insult = ("idiot", "moron", "stupid", "scum")
     assert 0.85 * docs.count() < len(clean) < docs.count() and not any(sum(w in t.lower() for w in insult) > 2 for _, t in clean)
-    alone = {i for i, _, c in expected([(i, plain_fingerprint(t)) for i, t in clean]) if i == c}
+    alone = firsts_of_near_copies(clean)
+    assert len(alone) < len(clean)
     assert {i for i, _ in texts("simhash near-dedup")} == alone and found["simhash near-dedup"].count() == len(alone)
     masked = dict(texts("pii"))
     assert set(masked) == alone and any("[EMAIL]" in t for t in masked.values())
