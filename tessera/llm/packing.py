@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import id_and_text, ship
 
-LENGTH, END_ID, SCALE, BLOCK_TOKENS, CACHE = 2048, 1, 2048, 1 << 20, 400_000
+LENGTH, END_ID, SCALE, BLOCK_TOKENS = 2048, 1, 2048, 1 << 20
 
 #: How byte-level BPE vocabularies of this kind cut text before merging. A fixed value.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -51,8 +52,7 @@ def byte_letters() -> dict[str, int]:
 def encoder(path: str) -> Callable[[str], bytes]:
     """From text to ids as little-endian unsigned 32-bit numbers; equal to the tokenizers library's on the file at path.
 
-    Where white space stands alone, a single blank before a word or a single line end always begins a new pre-token, so
-    such units are encoded on their own and remembered. Texts with special tokens in them go to the tokenizers library.
+    Texts with special tokens in them go to the tokenizers library.
     """
     import tiktoken
     from tokenizers import Tokenizer
@@ -65,26 +65,11 @@ def encoder(path: str) -> Callable[[str], bytes]:
     fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     whole = Tokenizer.from_file(path)
     has_special = re.compile("|".join(map(re.escape, special)) or r"(?!)").search
-    odd, units = re.compile(r"\s\s|[^\S \n]").search, re.compile(r"\n| ?[^ \n]+| ").findall
-    pack = lambda ids: np.array(ids, "<u4").tobytes()
-
-    class Known(dict):
-        def __missing__(self, unit: str) -> bytes:
-            if len(self) >= CACHE:
-                self.clear()
-            ids = pack(fast(unit))
-            if len(unit) < 64:
-                self[unit] = ids
-            return ids
-
-    known = Known()
 
     def encode(text: str) -> bytes:
         if special and has_special(text):
-            return pack(whole.encode(text, add_special_tokens=False).ids)
-        if odd(text):
-            return pack(fast(text))
-        return b"".join(map(known.__getitem__, units(text)))
+            return np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(array("I", fast(text)), "<u4").tobytes()
 
     return encode
 
