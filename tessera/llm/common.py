@@ -56,6 +56,23 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
     return df.mapInArrow(run, schema)
 
 
+#: Of a join's keys at most so many count as hot.
+HOT_KEYS = 2000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame:
+    """left with right's columns but n by key, without left's rows that right has no key for.
+
+    right has one row a key and n, a long: how many rows of left have that key; total is at least the sum of n. Keys of more
+    than a HOT_KEYS-th of total, which are fewer than HOT_KEYS, are broadcast, so that none gathers in a task; the others
+    are shuffled. left is read twice and should be cheap to read.
+    """
+    hot = F.col("n") * HOT_KEYS > total
+    top, rest = right.filter(hot).drop("n"), right.filter(~hot).drop("n")
+    cold = left.join(F.broadcast(top.select(key)), key, "left_anti").join(rest, key)
+    return left.join(F.broadcast(top), key).unionByName(cold)
+
+
 def lower_ascii(text: str) -> bytes:
     """UTF-8 with A-Z folded and everything else as it is."""
     return text.encode("utf-8", "surrogatepass").lower()

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_map, cut, id_and_text, lower_ascii, ship
+from tessera.llm.common import arrow_map, cut, id_and_text, lower_ascii, ship, spread_join
 
 SHINGLE, SEED, DIFFER = 4, 42, 4
 #: First bits of the three segments, and the end.
@@ -239,11 +239,11 @@ def components(links: DataFrame) -> DataFrame:
     before = mark(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        stars = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(stars.unionByName(least.withColumnRenamed("m", "v")).distinct())
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.when(F.col("v") > F.col("u"), 1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = cut(spread_join(both.filter("v > u"), least, "u", before[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        stars = spread_join(large, least, "u", before[0]).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = cut(stars.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         if (now := mark(edges)) == before:
             break
         before = now
@@ -255,7 +255,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if not 0 <= differ <= DIFFER:
         raise ValueError("three segments find up to four differing bits")
     found = cut(fingerprints(df, id_col, text_col))
-    nodes = found.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    nodes = found.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
     links = cut(join_index(indexed(nodes), differ))
     dense = links.filter("hot").select(F.col("a").alias("fp")).distinct()
     pairs = links.filter("not hot").select("a", "b")
@@ -264,10 +264,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     elif dense.limit(1).count():
         raise ValueError("groups this dense are linked at four differing bits only")
     roots = components(pairs)
-    joined = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = joined.select(F.col("fp").alias("node"), "root").join(least, "root").select("node", "component_id")
-    return found.join(named, found["fp"] == named["node"]).select("doc_id", "fp", "component_id")
+    joined = cut(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first_id", "copies", F.coalesce("root", "fp").alias("root")))
+    least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n"))
+    named = cut(spread_join(joined, least, "root", joined.count()).select("fp", "component_id", F.col("copies").alias("n")))
+    return spread_join(found, named, "fp", found.count()).select("doc_id", "fp", "component_id")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
