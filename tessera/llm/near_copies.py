@@ -1,13 +1,19 @@
-"""Near copies by the Jaccard similarity of word shingles: minhash bands propose groups, exact similarities decide.
-
-Texts link where their sets of five-word shingles have a similarity of at least 0.8. Such a pair agrees on about 54 of 64
-simhash bits, far beyond what deletion variants reach, so candidates come from minhashes: BANDS bands of ROWS each, of which
-a pair at 0.8 shares none with probability (1 - 0.8 ** 6) ** 40, five in a million, and a closer one more rarely still.
-
-Nodes are distinct texts, by XXH64; equal texts need no link. Only (band, node) rows are shuffled for all texts. Groups of
-equal band give their members, groups of equal members count once, and texts are fetched for members alone. Within a group
-sets are searched breadth first, exactly, which gives a spanning forest and never all pairs. A group above HOT nodes is cut
-into blocks, and each two blocks are searched together, so that no task holds more; that work is the square of the group.
+"""Near copies by SimHash: wide fingerprints propose groups by deletion variants, exact Jaccard similarities decide.
+
+Texts link where their sets of five-word shingles have a similarity of at least 0.8. The fingerprints of such a pair differ in
+about 15 % of their bits, too many for the 64 bits of ``simhash``, so these have WORDS * 64: bit i is set if it is set in over
+half of the shingles' hashes (on a tie, if in one that is chosen alike), of a hash of its own for each word. They are cut into SEGMENTS
+segments of two halves of HALF bits. As in ``simhash``, two fingerprints meet where a segment differs in at most one bit,
+found by deleting each bit in turn and joining by equality, and are verified by RADIUS on CHECK words. One differing bit
+leaves a half equal, so a segment takes two rows and not one a bit: rows are dealt by a half, and the bits of the other are
+deleted where the rows arrive. Of pairs at 0.8 that differ in 15.15 % of bits, five in a million meet in no segment, of closer
+ones fewer; sets of less than ten shingles differ in up to 19 %, and of such pairs two in a thousand are missed.
+
+Nodes are distinct texts, by XXH64; equal texts need no link. Only (key, node, check) rows are shuffled for all texts. Links of
+fingerprints give components, texts are fetched for their members alone, once each, and within a component sets are searched
+breadth first, exactly, which gives a spanning forest and never all pairs. A component above HOT nodes is cut into parts, and
+each two parts are searched together, so that no task holds more; that work is the square of the component. Keys have
+2 * HALF - 1 bits, so that a group grows as N / 2^17.
 
 Edge cases: a null text is the empty text; texts without words are one group; fewer words than a shingle are one shingle;
 repeated ids and ids that are null are rows like any other, since nodes are texts; an empty table gives an empty result.
@@ -21,15 +27,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
 
-from tessera.llm.common import arrow_map, col, cut, lower_ascii, ship, spread_join
+from tessera.llm.common import col, cut, lower_ascii, ship, spread_join
 from tessera.llm.simhash import components, hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 40, 6
+#: Words of a fingerprint; its segments and the bits of half a segment, which fit into the words.
+WORDS, SEGMENTS, HALF = 14, 49, 9
+#: Linked fingerprints differ in at most RADIUS bits of their first CHECK words.
+CHECK, RADIUS = 3, 56
+#: Groups up to SMALL are compared pair by pair, larger ones breadth first; CHUNK rows or more are searched at once.
+SMALL, CHUNK = 256, 1 << 17
 HOT = 2048
 BROADCAST_NODES = 1 << 20
+ENTRIES = "key int, node long, " + ", ".join(f"check{i} long" for i in range(CHECK))
 
 
 def node_of(text_col: str = "text") -> Column:
@@ -46,78 +57,161 @@ def multipliers(n: int) -> np.ndarray:
     return np.random.default_rng(42).integers(0, 1 << 64, n, np.uint64) | np.uint64(1)
 
 
-def band_keys(found: np.ndarray, bands: int, rows: int, by: np.ndarray) -> np.ndarray:
-    """One key a band, of the least products with the multipliers of its rows."""
-    least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(found), 1024):
-        np.minimum(least, (found[i : i + 1024, None] * by[None, :]).min(axis=0), out=least)
-    least ^= least >> np.uint64(31)
-    keys = (least * by).reshape(bands, rows).sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return keys * np.uint64(0xBF58476D1CE4E5B9)
+#: A multiplier for each word, and one for each byte's ties.
+BY, TIES = np.split(multipliers(9 * WORDS), [WORDS])
+
+
+def wide_fingerprint(found: np.ndarray) -> np.ndarray:
+    """The SimHash of sorted shingles."""
+    counts, n = np.zeros(64 * WORDS, np.int64), len(found)
+    if not n:
+        return np.zeros(WORDS, np.uint64)
+    for i in range(0, n, 255):
+        mixed = found[i : i + 255, None] * BY
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(32)
+        bits = np.unpackbits(mixed.astype("<u8", copy=False).view(np.uint8), axis=1, bitorder="little")
+        if not i:
+            # Breaks ties, by a shingle for each byte; counts are doubled below, so that it does nothing else.
+            least = np.argmin(found[:32, None] * TIES, axis=0)
+            first = np.unpackbits(mixed.astype("<u8", copy=False).view(np.uint8)[least, np.arange(len(TIES))], bitorder="little")
+        counts += bits.sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * counts + first > n, bitorder="little").view("<u8").astype(np.uint64)
+
 
+def segment_keys(prints: np.ndarray) -> np.ndarray:
+    """Two keys a segment of each fingerprint: the number of segment and half, above that half, above the other one."""
+    bits = np.unpackbits(prints.astype("<u8", copy=False).view(np.uint8), axis=1, bitorder="little")[:, : SEGMENTS * 2 * HALF]
+    halves = (bits.reshape(len(prints), SEGMENTS, 2, HALF) * (1 << np.arange(HALF, dtype=np.int32))).sum(axis=3, dtype=np.int32)
+    number = np.arange(2 * SEGMENTS, dtype=np.int32).reshape(1, SEGMENTS, 2)
+    return (number << (2 * HALF) | halves << HALF | halves[:, :, ::-1]).reshape(len(prints), 2 * SEGMENTS)
 
-def index(rows: DataFrame, size: int, bands: int, per_band: int) -> DataFrame:
-    """(key, node) for each band of the rows (node, text); a task passes a text on once."""
 
-    def make():
-        by, seen = multipliers(bands * per_band), set()
+def index(rows: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """(key, node, check words) for each half of each segment of the rows (node, text); a task passes a text on once."""
 
-        def apply(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            nodes, keys = [], []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+
+        def out(nodes: list[int], found: list[np.ndarray]) -> pa.RecordBatch:
+            prints, per = np.stack(found), 2 * SEGMENTS
+            checks = [pa.array(np.repeat(prints.view(np.int64)[:, i], per)) for i in range(CHECK)]
+            return pa.RecordBatch.from_arrays([pa.array(segment_keys(prints).ravel()), pa.array(np.repeat(np.array(nodes, np.int64), per)), *checks], ["key", "node", *(f"check{i}" for i in range(CHECK))])
+
+        nodes, found = [], []
+        for batch in batches:
             for node, text in zip(batch["node"].to_pylist(), batch["text"]):
                 if node not in seen:
                     seen.add(node)
                     nodes.append(node)
-                    keys.append(band_keys(shingles(text.as_py(), size), bands, per_band, by))
+                    found.append(wide_fingerprint(shingles(text.as_py(), size)))
+                if len(nodes) == 512:
+                    yield out(nodes, found)
+                    nodes, found = [], []
             if len(seen) > 1 << 20:
                 seen.clear()
-            if not nodes:
-                return None
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), bands))], ["key", "node"])
-
-        return apply
-
-    return arrow_map(rows, make, "key long, node long")
+        if nodes:
+            yield out(nodes, found)
+
+    ship(rows)
+    return rows.mapInArrow(run, ENTRIES)
+
+
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every node of links but the least of its component, and that least one."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y, least = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while (apart := least[x] != least[y]).any():
+        x, y = x[apart], y[apart]
+        np.minimum.at(least, np.maximum(least[x], least[y]), np.minimum(least[x], least[y]))
+        while (least[least] != least).any():
+            least = least[least]
+    other = least != np.arange(len(nodes))
+    return nodes[other], nodes[least[other]]
+
+
+def meet(key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of rows that span the components of verified links; keys are of whole groups that share a half."""
+    a: list[np.ndarray] = []
+    b: list[np.ndarray] = []
+    for bit in range(HALF):
+        deleted = key & ~np.int32(1 << bit)
+        order = np.argsort(deleted, kind="stable")
+        k, own, c = deleted[order], key[order], check[order]
+        starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        sizes = np.diff(np.append(starts, len(k)))
+        for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
+            rest = np.arange(s, s + n)
+            queue: list[int] = []
+            while len(rest):
+                at, rest = (queue.pop(), rest) if queue else (int(rest[0]), rest[1:])
+                near = np.bitwise_count(c[rest] ^ c[at]).sum(axis=1) <= RADIUS
+                if near.any():
+                    a.append(np.full(near.sum(), order[at]))
+                    b.append(order[rest[near]])
+                    queue += rest[near].tolist()
+                    rest = rest[~near]
+        few = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= SMALL), sizes))
+        k, own, c, order = k[few], own[few], c[few], order[few]
+        for lag in range(1, min(SMALL, len(k))):
+            same = k[lag:] == k[:-lag]
+            if not same.any():
+                break
+            if bit:
+                # Equal halves have met at the first bit.
+                same &= own[lag:] != own[:-lag]
+            at = np.flatnonzero(same)
+            near = at[np.bitwise_count(c[at] ^ c[at + lag]).sum(axis=1) <= RADIUS]
+            a.append(order[near])
+            b.append(order[near + lag])
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def join_index(entries: DataFrame) -> DataFrame:
+    """(a, b): links that span the components of fingerprints that meet and verify."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(key: np.ndarray, node: np.ndarray, check: np.ndarray) -> Iterator[pa.RecordBatch]:
+            once = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))
+            key, node, check = key[once], node[once], check[once]
+            a, b = meet(key, check)
+            a, b = stars(node[a], node[b])
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        held, n, least = [], 0, CHUNK
+        for batch in batches:
+            held.append((batch["key"].to_numpy(), batch["node"].to_numpy(), np.stack([batch[f"check{i}"].to_numpy().view(np.uint64) for i in range(CHECK)], axis=1)))
+            n += batch.num_rows
+            if n >= least:
+                key, node, check = map(np.concatenate, zip(*held))
+                at = int(np.searchsorted(key >> HALF, key[-1] >> HALF, "left"))
+                if at:
+                    yield from found(key[:at], node[:at], check[:at])
+                held, n = [(key[at:], node[at:], check[at:])], len(key) - at
+                least = max(CHUNK, 2 * n)
+        if n:
+            yield from found(*map(np.concatenate, zip(*held)))
 
-def blocks(nodes: np.ndarray) -> Iterator[np.ndarray]:
-    """The group, or its blocks two by two where it is above HOT."""
-    if len(nodes) <= HOT:
-        yield nodes
-        return
-    parts = np.array_split(nodes, -(-len(nodes) // (HOT // 2)))
-    for i in range(len(parts)):
-        for j in range(i):
-            yield np.concatenate((parts[j], parts[i]))
+    ship(entries)
+    return entries.repartition(F.shiftright("key", HALF)).sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long")
 
 
-def groups(entries: DataFrame) -> DataFrame:
-    """(grp, node) for groups of two nodes or more with the same key; grp is the hash of the members."""
+def with_roots(roots: DataFrame) -> DataFrame:
+    """Rows (node, root) of components(), which leaves out the roots themselves, and the roots."""
+    return roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(key: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
-            starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            for a, b in zip(starts, np.append(starts[1:], len(key))):
-                if b - a > 1 and len(members := np.unique(node[a:b])) > 1:
-                    for part in blocks(members):
-                        grp = np.full(len(part), xxh64_intdigest(part.tobytes()), np.uint64).view(np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(grp), pa.array(part)], ["grp", "node"])
-
-        def joined(found: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            if found:
-                yield pa.Table.from_batches(found).combine_chunks().to_batches()[0]
-
-        key, node = np.empty(0, np.int64), np.empty(0, np.int64)
-        for batch in batches:
-            key, node = np.concatenate((key, batch["key"].to_numpy())), np.concatenate((node, batch["node"].to_numpy()))
-            if len(key) and (at := int(np.searchsorted(key, key[-1], "left"))):
-                yield from joined(list(out(key[:at], node[:at])))
-                key, node = key[at:], node[at:]
-        if len(key):
-            yield from joined(list(out(key, node)))
 
-    ship(entries)
-    return entries.repartition("key").sortWithinPartitions("key").mapInArrow(run, "grp long, node long").distinct()
+def groups(named: DataFrame) -> DataFrame:
+    """(grp, node) for the rows (node, root): a group a component, or one for each two parts of it where it is above HOT."""
+    sizes = named.groupBy("root").agg(F.count("*").alias("n")).withColumn("size", F.col("n"))
+    rows = spread_join(named, sizes, "root", named.count())
+    parts = F.ceil(F.col("size") / (HOT // 2)).cast("int")
+    own = F.pmod(F.xxhash64("node"), parts).cast("int")
+    others = F.filter(F.sequence(F.lit(0), parts - 1), lambda p: p != own)
+    pairs = F.transform(others, lambda p: F.xxhash64("root", F.least(p, own), F.greatest(p, own)))
+    return rows.select(F.explode(F.when(F.col("size") <= HOT, F.array("root")).otherwise(pairs)).alias("grp"), "node")
 
 
 def forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -179,15 +273,19 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_NODES else df
 
 
-def superfluous(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def candidates(texts: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """(node, root) for the components of the rows (node, text) by their fingerprints; nodes without a link are left out."""
+    return with_roots(components(cut(join_index(index(texts, size)))))
+
+
+def superfluous(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """node of all texts that are in a component with one of a lower id; without ids, of a lower node."""
     texts = df.select(node_of(text_col).alias("node"), col(id_col).alias("doc_id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
-    found = cut(groups(index(texts.select("node", "text"), shingle, bands, rows)))
-    wanted = small(cut(found.select("node").distinct()))
+    found = cut(candidates(texts.select("node", "text"), shingle))
+    wanted = small(found.select("node"))
     members = cut(texts.join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("text").alias("text")))
-    roots = components(cut(links_within(found.join(members.select("node", "text"), "node"), shingle, similarity)))
-    # components() leaves out the roots themselves.
-    named = cut(roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct().join(members.select("node", "first_id"), "node"))
+    roots = components(cut(links_within(groups(found).join(members.select("node", "text"), "node"), shingle, similarity)))
+    named = cut(with_roots(roots).join(members.select("node", "first_id"), "node"))
     first = named.groupBy("root").agg(F.min_by("node", F.struct(F.col("first_id").isNull(), "first_id", "node")).alias("kept"), F.count("*").alias("n"))
     return cut(spread_join(named, first, "root", named.count()).filter("node <> kept").select("node"))
 
