@@ -152,9 +152,10 @@ def test_recall_at_the_threshold():
     assert found == {True: 300, False: 0}
 
 
-@pytest.mark.parametrize("copies", [20, 900])
-def test_meet(copies):
-    """Groups below and above SMALL, pairs that differ in one bit of the segment, in two, and beyond the radius."""
+@pytest.mark.parametrize("copies,large", [(20, 1024), (900, 1024), (900, 40)])
+def test_meet(monkeypatch, copies, large):
+    """Groups up to SMALL, up to LARGE and above, pairs that differ in one bit of the segment, in two, and beyond the radius."""
+    monkeypatch.setattr(near_copies, "LARGE", large)
     r = np.random.default_rng(copies)
     centres = r.integers(0, 1 << 64, (5, near_copies.CHECK), np.uint64)
     own = r.integers(0, 5, copies)
